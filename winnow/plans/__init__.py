@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger", "scores")
+MODULES = ("ledger", "scores", "queues", "verification")
 
 
 def load_all() -> None:
