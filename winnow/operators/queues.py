@@ -416,6 +416,10 @@ def list_view(queue: DataFrame, networks: DataFrame, rounds: DataFrame, investor
     ``investors`` is (round_id, position, investor); the lead falls back to the first investor of
     the first round when the newest round names none.
     """
+    from winnow.session import cut_lineage
+
+    # The page is a few rows used in several joins: compute the queue once.
+    queue = cut_lineage(queue)
     ids = queue.select("candidate_id")
     chain = (
         networks.join(ids, "candidate_id", "left_semi")

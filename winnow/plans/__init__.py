@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger", "scores", "queues", "verification")
+MODULES = ("ledger", "scores", "queues", "verification", "texts")
 
 
 def load_all() -> None:
