@@ -51,6 +51,10 @@ def _mark_pairs() -> tuple[str, str]:
 _ACCENTED, _BARE = _mark_pairs()
 
 
+def strip_marks_text(v: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", v) if unicodedata.category(c) != "Mn")
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
@@ -63,11 +67,7 @@ def _nfkc_casefold(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _strip_marks(s: pd.Series) -> pd.Series:
-    return s.map(
-        lambda v: None
-        if v is None
-        else "".join(c for c in unicodedata.normalize("NFD", v) if unicodedata.category(c) != "Mn")
-    )
+    return s.map(lambda v: None if v is None else strip_marks_text(v))
 
 
 def _needs_python(c: Column) -> Column:

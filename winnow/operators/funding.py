@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.once import with_once
 from winnow.functions.ordered import top_n
 from winnow.functions.timefn import FUNDING_START, ts
 from winnow.settings import DEFAULT, Rules
@@ -102,19 +103,20 @@ def extract_funding(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     for name, ty in (("is_official", "boolean"), ("published_at", "timestamp")):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(ty))
-    s = docs.filter(F.col("text").rlike(RAISE_VERBS)).select(
-        "doc_id", "is_official", "published_at", F.posexplode(F.split("text", SENTENCE_END)).alias("pos", "sentence")
+    s = docs.select(
+        "doc_id", "is_official", "published_at",
+        F.posexplode_outer(F.split(F.when(F.col("text").rlike(RAISE_VERBS), F.col("text")), SENTENCE_END)).alias("pos", "_s"),
     )
-    s = s.withColumn("sentence", F.regexp_replace("sentence", r"^\s+|\s+$", "")).filter(F.col("sentence").rlike(RAISE_VERBS))
-    s = s.withColumn("_a", amounts(F.col("sentence"), rules)).withColumn("round_type", round_type(F.col("sentence")))
+    s = with_once(s, sentence=F.regexp_replace("_s", r"^\s+|\s+$", "")).filter(F.col("sentence").rlike(RAISE_VERBS))
+    s = with_once(s, _a=amounts(F.col("sentence"), rules), round_type=round_type(F.col("sentence")))
     s = s.filter(F.col("_a.as_published").isNotNull() | (F.col("round_type") != UNDISCLOSED))
     none = F.array().cast("array<string>")
-    s = s.withColumn("_lead", F.trim(F.regexp_extract("sentence", LEAD, 1))).withColumn(
-        "_others", F.regexp_extract("sentence", PARTICIPATION, 1)
+    s = with_once(
+        s, _lead=F.trim(F.regexp_extract("sentence", LEAD, 1)), _others=F.regexp_extract("sentence", PARTICIPATION, 1)
     )
     lead_names = F.when(F.col("_lead") != "", split_investors(F.col("_lead"))).otherwise(none)
     other_names = F.when(F.col("_others") != "", split_investors(F.col("_others"))).otherwise(none)
-    s = s.withColumn("investors", F.array_distinct(F.concat(lead_names, other_names)))
+    s = with_once(s, investors=F.array_distinct(F.concat(lead_names, other_names)))
     # Confidence says how much was stated, and by whom (C17).
     conf = (
         F.lit(0.30)

@@ -1,17 +1,21 @@
 """Lexicon matching over text, geography with ambiguity, intent, feature vector and labels.
 
-Matching explodes a document's distinct words and joins them to the lexicon on each term's first
-word; the lexicon is a bounded dimension that Spark broadcasts only below its size threshold. A
+Matching keeps, per document, the words that start a lexicon term and joins those few to the
+lexicon on each term's first word. The lexicon is inlined only below a checked size. A
 one-word term is then already matched; only longer terms run a regular expression, on the few
 documents that hold their first word. Nothing but match rows is shuffled, never text.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, WORD, fold_text
+from winnow.functions.once import with_once
+from winnow.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, WORD, fold_text, strip_marks_text
 from winnow.settings import DEFAULT, Rules
 from winnow.sources.lexicon import PAN_REGION
 
@@ -39,45 +43,84 @@ def compiled_lexicon(lexicon: DataFrame, unicode: str = "full") -> DataFrame:
         F.when((F.col("kind") == "pan") | (F.col("bare") != F.col("norm")), F.struct(F.lit(True).alias("stripped"), F.col("bare").alias("form"))),
     )
     rows = low.select("kind", "entity", "term", "ambiguous", F.inline(F.array_compact(variants)))
-    quoted = F.regexp_replace("form", r"([^\p{L}\p{N}_\s])", r"\\$1")
-    pattern = F.concat(F.lit(NOT_WORD_BEFORE), F.regexp_replace(quoted, r"\s+", r"\\s+"), F.lit(NOT_WORD_AFTER))
+    rows = rows.withColumn("form", F.regexp_replace(F.trim("form"), r"(?U)\s+", " "))
+    quoted = F.regexp_replace("form", r"([^\p{L}\p{N}_ ])", r"\\$1")
+    pattern = F.concat(F.lit(NOT_WORD_BEFORE), quoted, F.lit(NOT_WORD_AFTER))
     return rows.select(
         "kind", "entity", "term", "ambiguous", "stripped",
         F.regexp_extract("form", f"{WORD}+", 0).alias("first_token"),
         F.col("form").rlike(f"^{WORD}+$").alias("single"),
+        "form",
         pattern.alias("pattern"),
     )
 
 
-def match_lexicon(docs: DataFrame, lexicon: DataFrame, unicode: str = "full", kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """(doc_id, kind, entity, term, ambiguous) for every term found in ``docs.text``."""
+MAX_INLINE_TERMS = 20_000
+FORM_SCHEMA = (
+    "kind string, entity string, term string, ambiguous boolean, stripped boolean, "
+    "first_token string, single boolean, form string, pattern string"
+)
+
+
+def inline_forms(kind: str, entity: str, term: str, ambiguous: bool) -> list[tuple]:
+    """The forms of one term of an inlined lexicon, as ``compiled_lexicon`` has them."""
+    norm = unicodedata.normalize("NFKC", term).casefold()
+    bare = norm if kind == "pan" else strip_marks_text(norm)
+    forms = [(False, norm)] + ([(True, bare)] if kind == "pan" or bare != norm else [])
+    out = []
+    for stripped, raw in forms:
+        form = " ".join(raw.split())
+        tokens = re.findall(r"\w+", form)
+        quoted = re.sub(r"([^\w ])", r"\\\1", form)
+        if tokens:
+            out.append((kind, entity, term, ambiguous, stripped, tokens[0], tokens == [form], form, f"{NOT_WORD_BEFORE}{quoted}{NOT_WORD_AFTER}"))
+    return out
+
+
+def match_lexicon(
+    docs: DataFrame, lexicon: DataFrame, unicode: str = "full", kinds: tuple[str, ...] | None = None, distinct: bool = True
+) -> DataFrame:
+    """(doc_id, kind, entity, term, ambiguous) for every term found in ``docs.text``.
+
+    A lexicon of at most ``MAX_INLINE_TERMS`` forms, which is checked, travels with the plan: each
+    document keeps only those of its words that start a term, so almost nothing is exploded, and
+    text never leaves its task. A larger one is joined on (word) rows without text, and text is
+    joined back by document for the terms that need a look at it.
+    """
     if kinds:
         lexicon = lexicon.filter(F.col("kind").isin(*kinds))
-    lex = compiled_lexicon(lexicon, unicode)
-    text = docs.select("doc_id", fold_text(F.col("text"), unicode=unicode).alias("_norm"))
-    if unicode == "full":
-        bare = fold_text(F.col("_norm"), strip_marks=True)
-    else:
-        bare = fold_text(F.col("_norm"), strip_marks=True, unicode="native")
-    text = text.withColumn("_bare", bare)
+    head = lexicon.select("kind", "entity", "term", "ambiguous").limit(MAX_INLINE_TERMS + 1).collect()
+    folded = fold_text(F.col("text"), unicode=unicode)
+    text = docs.select("doc_id", F.regexp_replace(folded, r"(?U)\s+", " ").alias("_norm"))
+    text = text.withColumn("_bare", fold_text(F.col("_norm"), strip_marks=True, unicode=unicode))
 
     def words(c: str) -> Column:
         return F.regexp_extract_all(F.col(c), F.lit(f"{WORD}+"), F.lit(0))
 
     # Words of the bare text are needed only where stripping changed something.
-    tokens = F.when(
-        F.col("_norm") == F.col("_bare"), F.array_distinct(words("_norm"))
-    ).otherwise(F.array_distinct(F.concat(words("_norm"), words("_bare"))))
+    plain = F.col("_norm") == F.col("_bare")
+    tokens = F.when(plain, words("_norm")).otherwise(F.concat(words("_norm"), words("_bare")))
     hay = F.when(F.col("stripped"), F.col("_bare")).otherwise(F.col("_norm"))
     # A one-word term is matched by its token, unless the token may stem from the other form.
-    found = (F.col("single") & (F.col("_norm") == F.col("_bare"))) | F.rlike(hay, F.col("pattern"))
-    return (
-        text.select("doc_id", "_norm", "_bare", F.explode(tokens).alias("first_token"))
-        .join(lex, "first_token")
-        .filter(found)
-        .select("doc_id", "kind", "entity", "term", "ambiguous")
-        .distinct()
-    )
+    # A plain substring test comes before any regular expression.
+    found = (F.col("single") & plain) | (hay.contains(F.col("form")) & F.rlike(hay, F.col("pattern")))
+    if len(head) <= MAX_INLINE_TERMS:
+        forms = [f for row in head for f in inline_forms(*row)]
+        lex = F.broadcast(docs.sparkSession.createDataFrame(forms, FORM_SCHEMA))
+        firsts = F.array(*[F.lit(w) for w in sorted({f[5] for f in forms})]).cast("array<string>")
+        # The outer form of explode adds no size filter, whose pushdown would tokenise twice; the
+        # null row of a document without hits ends in the join.
+        hits = text.select("doc_id", "_norm", "_bare", F.explode_outer(F.array_intersect(tokens, firsts)).alias("first_token"))
+        out = hits.join(lex, "first_token").filter(found)
+    else:
+        compiled = compiled_lexicon(lexicon, unicode)
+        pairs = text.select("doc_id", plain.alias("_plain"), F.explode_outer(F.array_distinct(tokens)).alias("first_token")).join(compiled, "first_token")
+        sure = F.col("single") & F.col("_plain")
+        out = pairs.filter(sure).unionByName(
+            pairs.filter(~sure).join(text, "doc_id").filter(found).select(*pairs.columns)
+        )
+    out = out.select("doc_id", "kind", "entity", "term", "ambiguous")
+    return out.distinct() if distinct else out
 
 
 def document_matches(docs: DataFrame, lexicon: DataFrame, unicode: str = "full", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -86,7 +129,7 @@ def document_matches(docs: DataFrame, lexicon: DataFrame, unicode: str = "full",
     The carried columns and the match rows meet in one aggregate by ``doc_id``: no join, and only
     short rows are shuffled.
     """
-    hits = match_lexicon(docs, lexicon, unicode)
+    hits = match_lexicon(docs, lexicon, unicode, distinct=False)
     null = {c: docs.schema[c].dataType for c in carry}
     base = docs.select("doc_id", *carry)
     for c in ("kind", "entity", "term"):
@@ -225,7 +268,8 @@ def snippets(docs: DataFrame, geography: DataFrame, unicode: str = "native", lim
     text = docs.select("doc_id", "text", fold_text(F.col("text"), strip_marks=True, unicode=unicode).alias("_f"))
     ends = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
     pairs = F.arrays_zip(F.split("text", ends).alias("raw"), F.split("_f", ends).alias("low"))
-    df = text.join(needles, "doc_id").withColumn("_lines", pairs)
+    df = text.join(needles, "doc_id")
+    df = with_once(df, _lines=pairs)
     hit = F.filter("_lines", lambda x: (F.trim(x["raw"]) != "") & F.exists("_needles", lambda n: x["low"].contains(n)))
     return df.select(
         "doc_id",

@@ -44,7 +44,8 @@ def classify_opportunities(docs: DataFrame) -> DataFrame:
         ]
     )
     carry = [c for c in docs.columns if c != "text"]
-    return docs.select(*carry, F.inline(F.filter(found, lambda x: x["matched"] != "")))
+    # Outer form: no inferred size filter that would run the patterns twice.
+    return docs.select(*carry, F.inline_outer(F.filter(found, lambda x: x["matched"] != ""))).filter(F.col("matched").isNotNull())
 
 
 def upsert_opportunities(matches: DataFrame) -> DataFrame:
