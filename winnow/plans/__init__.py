@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger", "scores", "queues", "verification", "texts")
+MODULES = ("ledger", "scores", "queues", "verification", "texts", "resolution")
 
 
 def load_all() -> None:
