@@ -57,9 +57,9 @@ DOCS_SQL = f"""WITH docs AS (SELECT doc_id, {_TEXT} AS text, {", ".join(f"{e} AS
 lex AS (SELECT *, replace(lower(term), 'ß', 'ss') AS norm, strip_accents(replace(lower(term), 'ß', 'ss')) AS bare FROM (VALUES {_LEX}) t(kind, entity, term, ambiguous)),
 forms AS (SELECT kind, entity, term, ambiguous, FALSE AS stripped, norm AS form FROM lex UNION ALL
   SELECT kind, entity, term, ambiguous, TRUE, CASE WHEN kind = 'pan' THEN norm ELSE bare END FROM lex WHERE kind = 'pan' OR bare <> norm),
-pats AS (SELECT *, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_replace(form, '([^\\p{{L}}\\p{{N}}_ ])', '\\\\\\1', 'g') || '($|[^\\p{{L}}\\p{{N}}_])' AS pattern FROM forms),
-hay AS (SELECT doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g') AS norm, strip_accents(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')) AS bare FROM docs),
-hits AS (SELECT DISTINCT doc_id, kind, entity, term, ambiguous FROM hay, pats
+pats AS MATERIALIZED (SELECT *, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_replace(form, '([^\\p{{L}}\\p{{N}}_ ])', '\\\\\\1', 'g') || '($|[^\\p{{L}}\\p{{N}}_])' AS pattern FROM forms),
+hay AS MATERIALIZED (SELECT doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g') AS norm, strip_accents(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')) AS bare FROM docs),
+hits AS MATERIALIZED (SELECT DISTINCT doc_id, kind, entity, term, ambiguous FROM hay, pats
   WHERE CASE WHEN contains(CASE WHEN stripped THEN bare ELSE norm END, form) THEN regexp_matches(CASE WHEN stripped THEN bare ELSE norm END, pattern) ELSE FALSE END)
 """
 _GEO = """, agg AS (SELECT doc_id, list_sort(list(DISTINCT entity) FILTER (WHERE kind = 'country' AND NOT ambiguous)) AS plain,
