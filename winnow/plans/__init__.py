@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger", "scores", "queues", "verification", "texts", "resolution", "assessments")
+MODULES = ("ledger", "scores", "queues", "verification", "texts", "resolution", "assessments", "observations")
 
 
 def load_all() -> None:

@@ -181,7 +181,7 @@ def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
         "countries array<struct<name:string,aliases:array<string>,demonyms:array<string>,ambiguous_aliases:array<string>>>",
     ).select(F.explode("countries").alias("c"))
     none = F.array().cast("array<string>")
-    amb = c.select(F.lower(F.explode("c.ambiguous_aliases")).alias("low")).distinct()
+    amb = c.select(F.explode("c.ambiguous_aliases").alias("a")).select(F.lower("a").alias("low")).distinct()
     forms = c.select(
         F.col("c.name").alias("name"),
         F.explode(
