@@ -10,10 +10,12 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from winnow.functions.once import with_once
+
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD_BEFORE = rf"(?<!{WORD})"
 NOT_WORD_AFTER = rf"(?!{WORD})"
@@ -98,6 +100,29 @@ def fold_text(c: Column, strip_marks: bool = False, unicode: str = "full") -> Co
     return F.when(odd, folded).otherwise(plain)
 
 
+@F.pandas_udf(T.StructType([T.StructField("norm", T.StringType()), T.StructField("bare", T.StringType())]))
+def _fold_struct(s: pd.Series) -> pd.DataFrame:
+    norm = s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
+    return pd.DataFrame({"norm": norm, "bare": norm.map(lambda v: None if v is None else strip_marks_text(v))})
+
+
+def with_folded(df: DataFrame, text: str, unicode: str = "full") -> DataFrame:
+    """Add ``_norm`` and ``_bare``: folded text, and the same without marks, whitespace collapsed.
+
+    Each is computed once per row, and one Arrow step serves both for the rows that need it.
+    """
+    squeeze = lambda c: F.regexp_replace(c, r"(?U)\s+", " ")
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    if unicode == "native":
+        df = with_once(df, _norm=squeeze(plain))
+        return with_once(df, _bare=F.translate(F.col("_norm"), _ACCENTED, _BARE))
+    df = with_once(df, _odd=_needs_python(F.col(text)))
+    df = df.withColumn("_py", _fold_struct(F.when(F.col("_odd"), F.col(text))))
+    df = with_once(df, _norm=squeeze(F.when(F.col("_odd"), F.col("_py.norm")).otherwise(plain)))
+    bare = F.when(F.col("_odd"), squeeze(F.col("_py.bare"))).otherwise(F.translate(F.col("_norm"), _ACCENTED, _BARE))
+    return with_once(df, _bare=bare).drop("_odd", "_py")
+
+
 def normalize_name(c: Column, unicode: str = "full") -> Column:
     """Lower-case name with punctuation turned to spaces and whitespace collapsed."""
     low = F.lower(nfkc(c, unicode))

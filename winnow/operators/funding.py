@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.once import with_once
+from winnow.functions.once import spread, with_once
 from winnow.functions.ordered import top_n
 from winnow.functions.timefn import FUNDING_START, ts
 from winnow.settings import DEFAULT, Rules
@@ -103,7 +103,7 @@ def extract_funding(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     for name, ty in (("is_official", "boolean"), ("published_at", "timestamp")):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(ty))
-    s = docs.select(
+    s = spread(docs).select(
         "doc_id", "is_official", "published_at",
         F.posexplode_outer(F.split(F.when(F.col("text").rlike(RAISE_VERBS), F.col("text")), SENTENCE_END)).alias("pos", "_s"),
     )

@@ -14,8 +14,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.once import with_once
-from winnow.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, WORD, fold_text, strip_marks_text
+from winnow.functions.once import spread, with_once
+from winnow.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, WORD, fold_text, strip_marks_text, with_folded
 from winnow.settings import DEFAULT, Rules
 from winnow.sources.lexicon import PAN_REGION
 
@@ -90,9 +90,7 @@ def match_lexicon(
     if kinds:
         lexicon = lexicon.filter(F.col("kind").isin(*kinds))
     head = lexicon.select("kind", "entity", "term", "ambiguous").limit(MAX_INLINE_TERMS + 1).collect()
-    folded = fold_text(F.col("text"), unicode=unicode)
-    text = docs.select("doc_id", F.regexp_replace(folded, r"(?U)\s+", " ").alias("_norm"))
-    text = text.withColumn("_bare", fold_text(F.col("_norm"), strip_marks=True, unicode=unicode))
+    text = with_folded(spread(docs.select("doc_id", "text")), "text", unicode).select("doc_id", "_norm", "_bare")
 
     def words(c: str) -> Column:
         return F.regexp_extract_all(F.col(c), F.lit(f"{WORD}+"), F.lit(0))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.once import with_once
+from winnow.functions.once import spread, with_once
 from winnow.functions.ordered import top_n, with_previous
 from winnow.functions.text import (
     caip2, chain_id, channel_hash, default_namespace, domain, normalize_name, root_name, slug, stable_key,
@@ -66,7 +66,7 @@ def _group_by_nodes(obs: DataFrame, nodes: str, own_key: Column, key: str) -> Da
     Only distinct identifiers enter the graph. Observations meet the result once, on one of their
     identifiers.
     """
-    obs = with_once(obs, _anchor=F.array_min(nodes), _own=own_key)
+    obs = with_once(spread(obs), _anchor=F.array_min(nodes), _own=own_key)
     edges = obs.select(F.col("_anchor").alias("src"), F.explode(nodes).alias("dst"))
     comp = connected_components(edges)
     first = obs.groupBy("_anchor").agg(F.min(F.struct("observed_at", "evidence_id", "_own")).alias("f"))
