@@ -50,17 +50,19 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-# The same lexicon as VALUES, and the matches it has in every document.
+# The same lexicon as VALUES, and the matches it has in every document. Each character that is no
+# word character is set off by chr(1) on both sides, so a plain substring test respects word edges.
 _LEX = ", ".join(f"({_quote(k)}, {_quote(e)}, {_quote(x)}, {str(a).upper()})" for k, e, x, a in default_rows())
 _W = r"[\p{L}\p{N}_]"
 DOCS_SQL = f"""WITH docs AS (SELECT doc_id, {_TEXT} AS text, {", ".join(f"{e} AS {c}" for c, e in _FLAGS.items())} FROM documents),
 lex AS (SELECT *, replace(lower(term), 'ß', 'ss') AS norm, strip_accents(replace(lower(term), 'ß', 'ss')) AS bare FROM (VALUES {_LEX}) t(kind, entity, term, ambiguous)),
 forms AS (SELECT kind, entity, term, ambiguous, FALSE AS stripped, norm AS form FROM lex UNION ALL
   SELECT kind, entity, term, ambiguous, TRUE, CASE WHEN kind = 'pan' THEN norm ELSE bare END FROM lex WHERE kind = 'pan' OR bare <> norm),
-pats AS MATERIALIZED (SELECT *, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_replace(form, '([^\\p{{L}}\\p{{N}}_ ])', '\\\\\\1', 'g') || '($|[^\\p{{L}}\\p{{N}}_])' AS pattern FROM forms),
-hay AS MATERIALIZED (SELECT doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g') AS norm, strip_accents(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')) AS bare FROM docs),
-hits AS MATERIALIZED (SELECT DISTINCT doc_id, kind, entity, term, ambiguous FROM hay, pats
-  WHERE CASE WHEN contains(CASE WHEN stripped THEN bare ELSE norm END, form) THEN regexp_matches(CASE WHEN stripped THEN bare ELSE norm END, pattern) ELSE FALSE END)
+pats AS MATERIALIZED (SELECT *, chr(1) || regexp_replace(form, '([^\\p{{L}}\\p{{N}}_])', chr(1) || '\\1' || chr(1), 'g') || chr(1) AS needle FROM forms),
+low AS MATERIALIZED (SELECT doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g') AS norm FROM docs),
+hay AS MATERIALIZED (SELECT doc_id, chr(1) || regexp_replace(norm, '([^\\p{{L}}\\p{{N}}_])', chr(1) || '\\1' || chr(1), 'g') || chr(1) AS norm,
+  chr(1) || regexp_replace(strip_accents(norm), '([^\\p{{L}}\\p{{N}}_])', chr(1) || '\\1' || chr(1), 'g') || chr(1) AS bare FROM low),
+hits AS MATERIALIZED (SELECT DISTINCT doc_id, kind, entity, term, ambiguous FROM hay, pats WHERE contains(CASE WHEN stripped THEN bare ELSE norm END, needle))
 """
 _GEO = """, agg AS (SELECT doc_id, list_sort(list(DISTINCT entity) FILTER (WHERE kind = 'country' AND NOT ambiguous)) AS plain,
   list(DISTINCT entity) FILTER (WHERE kind = 'country' AND ambiguous) AS maybe, list(DISTINCT term) FILTER (WHERE kind = 'country' AND ambiguous) AS maybe_forms,
