@@ -210,3 +210,41 @@ UNION ALL SELECT source_id, 'silent' FROM (SELECT source_id FROM register EXCEPT
 )
 def _(spark, sf):
     return L.register_drift(register(spark), role(spark, sf, "evidence"))
+
+
+def _scratch(spark) -> str:
+    """A new folder in the shared checkpoint folder."""
+    from uuid import uuid4
+
+    from winnow.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid4().hex}"
+
+
+@query("landing_files", "S1", cte("evidence") + "SELECT source_id, external_id, payload FROM evidence")
+def _(spark, sf):
+    """Raw items written as JSON lines and read back through the fixed envelope."""
+    from winnow.sources.tables import read_raw_items
+
+    path = _scratch(spark)
+    role(spark, sf, "evidence").select("source_id", "external_id", "url", "source_family", "observed_at", "payload").write.json(path)
+    return read_raw_items(spark, path).select("source_id", "external_id", "payload")
+
+
+@query(
+    "appended_table",
+    "S10",
+    cte("evidence") + "SELECT strftime(observed_at, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT external_id) AS n_ids FROM evidence GROUP BY 1",
+)
+def _(spark, sf):
+    """Two appends, one per half of the sources, to a date-partitioned table."""
+    from winnow.sources.tables import append_table
+
+    path = _scratch(spark)
+    ev = role(spark, sf, "evidence")
+    early = F.col("source_id").isin("view", "click")
+    append_table(ev.filter(early), path)
+    append_table(ev.filter(~early), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.date_format("observed_date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("external_id").alias("n_ids"))
