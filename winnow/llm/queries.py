@@ -5,16 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import quality
+from winnow.llm import quality, token_counts, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir).select("doc_id", "text"), with_text=False).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality,)}
-ORACLES = {"op1_line_quality": quality.SQL_OP1}
+def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return token_counts.token_counts(docs, _tokenizer("word_bpe_49k.json")).drop("text")
+
+
+def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return url_filters.judge_urls(pages, url_filters.rule_table(spark)).drop("url", "html")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op3_prefix_token_counts, op9_url_verdicts)}
+ORACLES = {"op1_line_quality": quality.SQL_OP1, "op9_url_verdicts": url_filters.SQL_OP9}
