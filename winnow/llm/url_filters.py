@@ -124,7 +124,7 @@ m AS (SELECT page_id, rh || rp AS rule, action, row_number() OVER (PARTITION BY
     FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
 best AS (SELECT p.*, m.rule, m.action FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) m USING (page_id)),
 a AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') || COALESCE('?' || NULLIF(array_to_string(list_filter(
-    string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'), x -> x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)')), '&'), ''), '') AS addr FROM best),
+    string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)')), '&'), ''), '') AS addr FROM best),
 c AS (SELECT addr, max(CASE WHEN action = 'allow' THEN 1 ELSE 0 END) AS ok FROM a WHERE action IS NOT NULL GROUP BY addr)
 SELECT page_id, host, path, rule, COALESCE(action, CASE WHEN c.ok = 0 THEN 'block' ELSE 'allow' END) AS verdict FROM a LEFT JOIN c USING (addr)
 """
