@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import quality, token_counts, url_filters
+from winnow.llm import decontaminate, line_dedup, lm_scores, near_dedup, pieces, pii, quality, token_counts, training_order, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +22,51 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir).select("doc_id", "text"), with_text=False).drop("text")
 
 
+def op2_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return token_counts.token_counts(docs, _tokenizer("word_bpe_49k.json")).drop("text")
 
 
+def op4_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return pieces.round_trip(docs, _tokenizer("piece_bpe_32k.model")).drop("text")
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = training_order.training_order(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+    return out.drop("folder")  # its name is new in each run
+
+
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op7_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.scores(_documents(spark, sf_dir))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return url_filters.judge_urls(pages, url_filters.rule_table(spark)).drop("url", "html")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op3_prefix_token_counts, op9_url_verdicts)}
-ORACLES = {"op1_line_quality": quality.SQL_OP1, "op9_url_verdicts": url_filters.SQL_OP9}
+def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_quality, op2_spaced_seed_overlaps, op3_prefix_token_counts, op4_unigram_pieces, op5_training_order, op6_fuzzy_line_dedup,
+        op7_bloom_lm_scores, op8_personal_data, op9_url_verdicts, op10_tensored_minhash,
+    )
+}
+ORACLES = {"op1_line_quality": quality.SQL_OP1, "op9_url_verdicts": url_filters.SQL_OP9, "op10_tensored_minhash": near_dedup.SQL_OP10}

@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-#: Entries of a task's memo of chunks; it starts anew when full.
-MEMO = 300_000
-#: Longer chunks are not kept in the memo.
-KEPT_CHARS = 48
+#: Entries of a task's memo of chunks; it starts anew when full (about 150 bytes each).
+MEMO = 1_000_000
+#: Chunks of more bytes are not kept in the memo.
+KEPT_BYTES = 40
+#: Chunks of up to this many bytes have counts that fit into a byte.
+SMALL = 255
 END = "</w>"
 #: Fixed value: how the tokenizer splits a chunk.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -46,7 +48,7 @@ def byte_alphabet() -> list[str]:
 
 
 class PrefixCounter(dict):
-    """Memo from a chunk (UTF-8, without white space) to its counts at each of its prefixes, as ``<u4`` bytes."""
+    """Memo from a chunk of up to ``SMALL`` bytes (UTF-8, without white space) to its counts at each of its prefixes, a byte each."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,9 +63,14 @@ class PrefixCounter(dict):
         ids: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {(ids[x], ids[y]): i for i, (x, y) in enumerate(pairs)}
-        self.plain = {t: i for t, i in ids.items() if not t.endswith(END)}
-        self.closing = {t.removesuffix(END): i for t, i in ids.items() if t.endswith(END)}
-        self.longest = max(len(t.removesuffix(END)) for t in ids)
+        plain = {t: i for t, i in ids.items() if not t.endswith(END)}
+        closing = {t.removesuffix(END): i for t, i in ids.items() if t.endswith(END)}
+        #: Ids of a string as a token inside a word and as one at its end; -1 for none.
+        self.both = {t: (plain.get(t, -1), closing.get(t, -1)) for t in {*plain, *closing}}
+        #: Length of the longest token that ends in two given characters.
+        self.reach: dict[str, int] = {}
+        for t in self.both:
+            self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 1))
         self.edges = self._edges({ids[x + y]: (ids[x], ids[y], i) for i, (x, y) in reversed([*enumerate(pairs)])}, ids.values())
         self.alphabet = byte_alphabet()
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
@@ -88,10 +95,10 @@ class PrefixCounter(dict):
         return out
 
     def __missing__(self, chunk: bytes) -> bytes:
-        out = self.chunk_counts(chunk.decode()).astype("<u4").tobytes()
+        out = self.chunk_counts(chunk.decode()).astype(np.uint8).tobytes()
         if len(self) >= MEMO:
             self.clear()
-        if len(chunk) <= KEPT_CHARS:
+        if len(chunk) <= KEPT_BYTES:
             self[chunk] = out
         return out
 
@@ -124,22 +131,25 @@ class PrefixCounter(dict):
                 ends.add(len(symbols))
             word = "".join(symbols)
         n = len(word)
-        plain, closing, follows, fits = self.plain.get, self.closing.get, self.follows, self.fits.get
-        last, count = [-1] * (n + 1), [0] * (n + 1)
+        both, reach, follows, fits = self.both.get, self.reach.get, self.follows, self.fits.get
+        last, count = [-1] * n, [0] * n
         out = []
         for i in range(1, n + 1):
             open_, want = i < n, ends is None or i in ends
-            for j in range(max(0, i - self.longest), i):  # the longest suffix first
-                t = word[j:i]
-                if open_ and (k := plain(t)) is not None:
-                    ok = not j or fits((last[j], k))
-                    if follows(last[j], k) if ok is None else ok:
-                        last[i], count[i], open_ = k, count[j] + 1, False
+            for j in range(max(0, i - reach(word[i - 2 : i], 1)) if i > 1 else 0, i):  # the longest suffix first
+                pair = both(word[j:i])
+                if pair is None:
+                    continue
+                inside, closing = pair
+                if open_ and inside >= 0:
+                    ok = not j or fits((last[j], inside))
+                    if follows(last[j], inside) if ok is None else ok:
+                        last[i], count[i], open_ = inside, count[j] + 1, False
                         if not want:
                             break
-                if want and (k := closing(t)) is not None:
-                    ok = not j or fits((last[j], k))
-                    if follows(last[j], k) if ok is None else ok:
+                if want and closing >= 0:
+                    ok = not j or fits((last[j], closing))
+                    if follows(last[j], closing) if ok is None else ok:
                         out.append(count[j] + 1)
                         want = False
                         if not open_:
@@ -195,7 +205,11 @@ class PrefixCounter(dict):
         points = np.frombuffer(text.encode("utf-32-le"), "<u4")
         space = (points == 32) | (points - 9 < 5)  # unsigned: below 9 wraps around
         inner = np.zeros(len(points), np.int64)
-        inner[~space] = np.frombuffer(b"".join(map(self.__getitem__, text.encode().split())), "<u4")
+        chunks = text.encode().split()
+        if len(max(chunks, key=len, default=b"")) <= SMALL:
+            inner[~space] = np.frombuffer(b"".join(map(self.__getitem__, chunks)), np.uint8)
+        else:
+            inner[~space] = np.concatenate([np.frombuffer(self[c], np.uint8) if len(c) <= SMALL else self.chunk_counts(c.decode()) for c in chunks])
         ends = ~space
         ends[:-1] &= space[1:]
         done = np.cumsum(np.where(ends, inner, 0))  # of the chunks that are complete
