@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 MARK = "▁"
 #: Entries of a task's memo of chunks; it starts anew when full.
-MEMO = 300_000
+MEMO = 600_000
 KEPT_CHARS = 48
 #: Fixed value: how much worse than the worst piece an unknown character scores.
 UNKNOWN_PENALTY = 10.0
@@ -45,16 +45,16 @@ class DoubleArray:
         used = bytearray(size)
         used[0] = 1
         check[0] = 0
-        place, todo, low = {0: 0}, [0], 1
+        place, todo = {0: 0}, [0]
+        low = [1, 1]  # where the search begins for nodes with one child and with more
         for node in todo:  # parents before children
             at = place[node]
             value[at] = ends.get(node, -1)
             codes = sorted(tree[node])
             if not codes:
                 continue
-            while used[low]:
-                low += 1
-            b = max(1, low - codes[0])
+            many = len(codes) > 1
+            b = first = max(1, low[many] - codes[0])
             while any(used[b + c] for c in codes):
                 b += 1
                 if b + 256 >= len(used):
@@ -63,6 +63,8 @@ class DoubleArray:
                     base += [0] * grow
                     check += [-1] * grow
                     value += [-1] * grow
+            if b - first > (64 if many else 0):  # what lies before is nearly full
+                low[many] = b + codes[0]
             base[at] = b
             for c in codes:
                 used[b + c] = 1
