@@ -248,13 +248,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``ids``, ``n_pieces``, ``n_byte_pieces`` and ``exact``, which says whether decoding gives the text back.
 
     Only a text that itself holds the marker (U+2581) is not given back: the marker becomes a space.
-    Null texts have null results.
+    Null texts have null results; columns with the names of results are replaced.
     """
     model = _LOADED.get(path) or PieceModel.load(path)
     low, high = min(model.byte_ids), max(model.byte_ids)
     out = decode_documents(encode_documents(docs, path), path, "_back")
     in_bytes = F.size(F.filter("ids", lambda i: (i >= low) & (i <= high))) if low >= 0 and high - low == 255 else F.lit(0)
     return out.select(
-        *docs.columns, "ids", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_pieces"),
+        *[c for c in docs.columns if c not in {"ids", "n_pieces", "n_byte_pieces", "exact"}], "ids", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_pieces"),
         F.when(F.col("ids").isNotNull(), in_bytes.cast("long")).alias("n_byte_pieces"), (F.col("_back") == F.col("text")).alias("exact"),
     )

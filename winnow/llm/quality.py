@@ -143,11 +143,9 @@ def quality(docs: DataFrame, rules: LineRules = DEFAULT_RULES, with_text: bool =
 
 def clean_documents(docs: DataFrame, rules: LineRules = DEFAULT_RULES) -> DataFrame:
     """The kept documents with their failing lines removed, in the columns of ``docs``."""
-    out = quality(docs.withColumn("_n", F.lit(0)), rules).filter("kept")
-    return out.select(*[
-        F.col("clean_text").alias(c) if c == "text" else F.length("clean_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
-        for c in docs.columns
-    ])
+    out = quality(docs.select("text", F.struct(*docs.columns).alias("_all")), rules).filter("kept")
+    changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text")}
+    return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"_all.{c}") for c in docs.columns])
 
 
 SQL_OP1 = rf"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_pipeline import ORACLE_SQL, run
 from winnow.llm import decontaminate, line_dedup, lm_scores, near_dedup, pieces, pii, quality, token_counts, training_order, url_filters
 
 
@@ -68,5 +69,7 @@ QUERIES = {
         op1_line_quality, op2_spaced_seed_overlaps, op3_prefix_token_counts, op4_unigram_pieces, op5_training_order, op6_fuzzy_line_dedup,
         op7_bloom_lm_scores, op8_personal_data, op9_url_verdicts, op10_tensored_minhash,
     )
-}
+} | {"pipeline": run}
 ORACLES = {"op1_line_quality": quality.SQL_OP1, "op9_url_verdicts": url_filters.SQL_OP9, "op10_tensored_minhash": near_dedup.SQL_OP10}
+if ORACLE_SQL:
+    ORACLES["pipeline"] = ORACLE_SQL
