@@ -1,7 +1,6 @@
 """Column helpers under names for ``spark.sql`` users.
 
-The bodies come from the same column expressions, so SQL and DataFrame users share one definition
-and Catalyst inlines it.
+Each body states in SQL what the column helper of that name does; tests hold the two against each other.
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ SQL_FUNCTIONS = {
     ),
     "w_caip2(ns STRING, ref STRING) RETURNS STRING": "concat(trim(lower(ns)), ':', trim(ref))",
     "w_endpoint_hash(u STRING) RETURNS STRING": "sha2(trim(coalesce(u, '')), 256)",
-    "w_channel_hash(u STRING) RETURNS STRING": "sha2(lower(trim(coalesce(u, ''))), 256)",
+    # Exact for ASCII; other channels need the Column, whose case-folding SQL does not have.
+    "w_channel_hash(u STRING) RETURNS STRING": r"sha2(lower(regexp_replace(coalesce(u, ''), r'(?U)^\s+|\s+$', '')), 256)",
     "w_bucket(t TIMESTAMP, m INT) RETURNS STRING": (
         "concat(m, 'm:', cast(floor(unix_timestamp(t) / (greatest(1, m) * 60)) as bigint))"
     ),

@@ -249,16 +249,29 @@ def endpoint_hash(url: Column) -> Column:
     return F.sha2(F.trim(F.coalesce(url, F.lit(""))), 256)
 
 
-def channel_hash(value: Column, unicode: str = "native") -> Column:
-    """sha256 of the trimmed, folded contact channel."""
-    t = F.trim(F.coalesce(value, F.lit("")))
-    folded = F.replace(F.lower(t), F.lit("ß"), F.lit("ss")) if unicode == "native" else fold_text(t)
-    return F.sha2(folded, 256)
+@F.pandas_udf(T.StringType())
+def _casefold(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else v.casefold())
+
+
+def channel_hash(value: Column) -> Column:
+    """sha256 of the trimmed, case-folded contact channel.
+
+    ASCII is folded in the JVM; other values take an Arrow step, because suppression compares these
+    hashes with those that others have recorded.
+    """
+    t = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)^\s+|\s+$", "")
+    odd = t.rlike(r"[^\x00-\x7F]")
+    return F.sha2(F.when(odd, _casefold(F.when(odd, t))).otherwise(F.lower(t)), 256)
 
 
 def canonical_json_hash(payload: Column) -> Column:
-    """sha256 of JSON with sorted keys (S2): ``parse_json`` re-serialises objects in key order."""
-    return F.sha2(F.to_json(F.parse_json(payload)), 256)
+    """sha256 of JSON with sorted keys (S2): parsing re-serialises objects in key order.
+
+    Text that is not JSON is hashed as it is. Characters beyond ASCII stay as they are and ``1.0`` becomes ``1``,
+    so hashes are comparable within this library only.
+    """
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(payload)), payload), 256)
 
 
 def any_contains(c: Column, words) -> Column:

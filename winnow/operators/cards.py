@@ -18,10 +18,10 @@ def recommendation(state: Column, label: Column, countries: Column) -> Column:
     """Next step by state and label."""
     where = F.when(F.size(countries) > 0, F.array_join(countries, ", ")).otherwise(F.lit("regional expansion"))
     return (
-        F.when((state == "HOT") & label.isin(A1, A2), F.concat(F.lit("Prepare Africa launch brief for "), where))
-        .when(state == "HOT", F.lit("Human review; verify technical readiness & explore DevRel/Validator entry"))
-        .when(state == "QUALIFIED", F.lit("Review in morning digest queue; evaluate BD fit"))
-        .otherwise(F.lit("Watch on Radar"))
+        F.when((state == "HOT") & label.isin(A1, A2), F.concat(F.lit("Write a launch brief covering "), where))
+        .when(state == "HOT", F.lit("Have a person check readiness and possible entry points"))
+        .when(state == "QUALIFIED", F.lit("Discuss in the daily digest"))
+        .otherwise(F.lit("Keep watching"))
     )
 
 

@@ -232,33 +232,30 @@ def recent_raises(kb: DataFrame, since=None, until=None, as_of=None) -> DataFram
 def match_funding_kb(candidates: DataFrame, kb: DataFrame, gram: int = 4) -> DataFrame:
     """(candidate_id, kb_id) where an alias equals the name or slug, or one contains the other.
 
-    Containment needs at least ``gram`` characters on the contained side, so any such pair shares
-    the first ``gram`` characters of the contained text somewhere in the other. Both directions are
-    therefore equi-joins on a gram with the containment as filter: no pair table of candidates and
-    aliases is built, and either side may be large.
+    The contained side has at least ``gram`` characters. Each distinct text is cut into its substrings of
+    just those lengths that occur on the other side, and meets them in an equi-join on the full text: only true
+    matches leave the join. Ids are attached to the matching texts afterwards.
     """
     c = candidates.select("candidate_id", F.trim(F.lower("canonical_name")).alias("name"), F.trim(F.lower("slug")).alias("slug"))
     k = kb.select("kb_id", F.explode("names").alias("alias")).select("kb_id", F.trim(F.lower("alias")).alias("alias"))
     equal = c.select("candidate_id", F.explode(F.array_distinct(F.array("name", "slug"))).alias("alias")).join(k, "alias")
-
-    def grams(col: str) -> Column:
-        n = F.length(col)
-        at = F.sequence(F.lit(1), F.greatest(n - gram + 1, F.lit(1)))
-        return F.when(n >= gram, F.array_distinct(F.transform(at, lambda i: F.substring(F.col(col), i, F.lit(gram)))))
-
-    head = lambda col: F.substring(col, 1, gram)
-    alias_in_name = (
-        c.select("candidate_id", "name", F.explode(grams("name")).alias("g"))
-        .join(k.filter(F.length("alias") >= gram).withColumn("g", head("alias")), "g")
-        .filter(F.col("name").contains(F.col("alias")))
-    )
-    name_in_alias = (
-        c.filter(F.length("name") >= gram).withColumn("g", head("name"))
-        .join(k.select("kb_id", "alias", F.explode(grams("alias")).alias("g")), "g")
-        .filter(F.col("alias").contains(F.col("name")))
-    )
+    names, aliases = c.select("name").distinct(), k.select("alias").distinct()
+
+    def inside(outer: DataFrame, a: str, inner: DataFrame, b: str) -> DataFrame:
+        """Distinct pairs of texts of which ``b`` is within ``a``."""
+        n = F.length(b)
+        lengths = sorted(r[0] for r in inner.filter(n >= gram).select(n.alias("n")).distinct().collect())  # no more than a name has characters
+        if not lengths:
+            return outer.select(a, F.col(a).alias(b)).limit(0)
+        sizes = F.array(*[F.lit(x) for x in lengths])
+        cut = lambda x: F.transform(F.sequence(F.lit(1), F.length(a) - x + 1), lambda i: F.substring(F.col(a), i, x))
+        parts = F.flatten(F.transform(F.filter(sizes, lambda x: x <= F.length(a)), cut))
+        return outer.select(a, F.explode(F.array_distinct(parts)).alias(b)).join(inner, b)
+
+    pairs = inside(names, "name", aliases, "alias").select("name", "alias").unionByName(inside(aliases, "alias", names, "name").select("name", "alias")).distinct()
+    held = pairs.join(c.select("candidate_id", "name"), "name").join(k, "alias")
     ids = lambda df: df.select("candidate_id", "kb_id")
-    return ids(equal).unionByName(ids(alias_in_name)).unionByName(ids(name_in_alias)).distinct()
+    return ids(equal).unionByName(ids(held)).distinct()
 
 
 def enrich_funding(candidates: DataFrame, kb: DataFrame, news: DataFrame, as_of, rules: Rules = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -284,9 +281,9 @@ def enrich_funding(candidates: DataFrame, kb: DataFrame, news: DataFrame, as_of,
         "lead_investor", "investors", "source_url", "quote", "confidence", "announced_at", "source_id", "_prefix",
     ]
     both = curated.select(*cols).unionByName(live.select(*cols))
-    payload = F.to_json(F.struct("amount_as_published", "amount_usd", F.col("canonical_name").alias("candidate_name"), "lead_investor", "quote", "round_type", "source_url"))
+    payload = F.to_json(F.struct("amount_as_published", "amount_usd", F.col("canonical_name").alias("candidate_name"), F.array_sort("investors").alias("investors"), "lead_investor", "quote", "round_type", "source_url"))
     both = both.withColumn("content_hash", F.sha2(payload, 256))
-    evidence = both.select(
+    rows = both.select(
         "candidate_id", "source_id",
         F.concat("_prefix", "slug", F.lit("_"), F.substring("content_hash", 1, 16)).alias("external_id"),
         F.col("source_url").alias("url"),
@@ -295,6 +292,8 @@ def enrich_funding(candidates: DataFrame, kb: DataFrame, news: DataFrame, as_of,
         F.col("announced_at").alias("published_at"),
         "content_hash",
         F.col("confidence").alias("reliability"),
-    ).dropDuplicates(["source_id", "external_id"])
+    )
+    # Two candidates of one name and slug share an announcement: the smaller id owns the row.
+    evidence = top_n(rows, ["source_id", "external_id"], [F.col("candidate_id")])
     rounds = upsert_funding_rounds(both.withColumn("seq", F.col("content_hash")))
     return evidence, rounds

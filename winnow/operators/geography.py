@@ -1,21 +1,17 @@
 """Lexicon matching over text, geography with ambiguity, intent, feature vector and labels.
 
-Matching keeps, per document, the words that start a lexicon term and joins those few to the
-lexicon on each term's first word. The lexicon is inlined only below a checked size. A
-one-word term is then already matched; only longer terms run a regular expression, on the few
-documents that hold their first word. Nothing but match rows is shuffled, never text.
+Matching joins the distinct words of each document to the lexicon on each term's first word. A
+one-word term is then already matched; only longer terms run a regular expression, on the
+documents that hold their first word.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.once import spread, with_once
-from winnow.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, WORD, fold_text, strip_marks_text, with_folded
+from winnow.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, WORD, fold_text, with_folded
 from winnow.settings import DEFAULT, Rules
 from winnow.sources.lexicon import PAN_REGION
 
@@ -55,41 +51,16 @@ def compiled_lexicon(lexicon: DataFrame, unicode: str = "full") -> DataFrame:
     )
 
 
-MAX_INLINE_TERMS = 20_000
-FORM_SCHEMA = (
-    "kind string, entity string, term string, ambiguous boolean, stripped boolean, "
-    "first_token string, single boolean, form string, pattern string"
-)
-
-
-def inline_forms(kind: str, entity: str, term: str, ambiguous: bool) -> list[tuple]:
-    """The forms of one term of an inlined lexicon, as ``compiled_lexicon`` has them."""
-    norm = unicodedata.normalize("NFKC", term).casefold()
-    bare = norm if kind == "pan" else strip_marks_text(norm)
-    forms = [(False, norm)] + ([(True, bare)] if kind == "pan" or bare != norm else [])
-    out = []
-    for stripped, raw in forms:
-        form = " ".join(raw.split())
-        tokens = re.findall(r"\w+", form)
-        quoted = re.sub(r"([^\w ])", r"\\\1", form)
-        if tokens:
-            out.append((kind, entity, term, ambiguous, stripped, tokens[0], tokens == [form], form, f"{NOT_WORD_BEFORE}{quoted}{NOT_WORD_AFTER}"))
-    return out
-
-
 def match_lexicon(
     docs: DataFrame, lexicon: DataFrame, unicode: str = "full", kinds: tuple[str, ...] | None = None, distinct: bool = True
 ) -> DataFrame:
     """(doc_id, kind, entity, term, ambiguous) for every term found in ``docs.text``.
 
-    A lexicon of at most ``MAX_INLINE_TERMS`` forms, which is checked, travels with the plan: each
-    document keeps only those of its words that start a term, so almost nothing is exploded, and
-    text never leaves its task. A larger one is joined on (word) rows without text, and text is
-    joined back by document for the terms that need a look at it.
+    Documents meet the lexicon as (word) rows without text, on the first word of each term. One-word terms
+    are then matched; text is joined back, by document, for the terms that need a look at it.
     """
     if kinds:
         lexicon = lexicon.filter(F.col("kind").isin(*kinds))
-    head = lexicon.select("kind", "entity", "term", "ambiguous").limit(MAX_INLINE_TERMS + 1).collect()
     text = with_folded(spread(docs.select("doc_id", "text")), "text", unicode).select("doc_id", "_norm", "_bare")
 
     def words(c: str) -> Column:
@@ -102,21 +73,11 @@ def match_lexicon(
     # A one-word term is matched by its token, unless the token may stem from the other form.
     # A plain substring test comes before any regular expression.
     found = (F.col("single") & plain) | (hay.contains(F.col("form")) & F.rlike(hay, F.col("pattern")))
-    if len(head) <= MAX_INLINE_TERMS:
-        forms = [f for row in head for f in inline_forms(*row)]
-        lex = F.broadcast(docs.sparkSession.createDataFrame(forms, FORM_SCHEMA))
-        firsts = F.array(*[F.lit(w) for w in sorted({f[5] for f in forms})]).cast("array<string>")
-        # The outer form of explode adds no size filter, whose pushdown would tokenise twice; the
-        # null row of a document without hits ends in the join.
-        hits = text.select("doc_id", "_norm", "_bare", F.explode_outer(F.array_intersect(tokens, firsts)).alias("first_token"))
-        out = hits.join(lex, "first_token").filter(found)
-    else:
-        compiled = compiled_lexicon(lexicon, unicode)
-        pairs = text.select("doc_id", plain.alias("_plain"), F.explode_outer(F.array_distinct(tokens)).alias("first_token")).join(compiled, "first_token")
-        sure = F.col("single") & F.col("_plain")
-        out = pairs.filter(sure).unionByName(
-            pairs.filter(~sure).join(text, "doc_id").filter(found).select(*pairs.columns)
-        )
+    compiled = compiled_lexicon(lexicon, unicode)
+    # The outer form of explode adds no size filter, whose pushdown would tokenise twice.
+    pairs = text.select("doc_id", plain.alias("_plain"), F.explode_outer(F.array_distinct(tokens)).alias("first_token")).join(compiled, "first_token")
+    sure = F.col("single") & F.col("_plain")
+    out = pairs.filter(sure).unionByName(pairs.filter(~sure).join(text, "doc_id").filter(found).select(*pairs.columns))
     out = out.select("doc_id", "kind", "entity", "term", "ambiguous")
     return out.distinct() if distinct else out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.ordered import top_n
@@ -41,10 +41,12 @@ def append_evidence(
 
     ``unique_external_ids`` states that the batch holds each external key once; one rank-1 filter
     on the content key is then exact. Otherwise rounds accept every row that comes first in both
-    of its groups and drop what conflicts with it, which gives the sequential result; rows shrink
-    fast and the loop ends when none are left.
+    of its groups and drop what conflicts with it, which gives the sequential result. Rounds run on the narrow
+    rows that conflict with any other; their number is at most the length of the longest chain of conflicts in order of arrival.
+
+    A row without a source, external id, hash or time has no keys; it is not accepted (see ``keyless_items``).
     """
-    rows = prepare_evidence(raw, bucket_minutes)
+    rows = prepare_evidence(raw, bucket_minutes).filter(~_keyless())
     if ledger is not None:
         rows = rows.join(ledger.select(*EXTERNAL_KEY), EXTERNAL_KEY, "left_anti")
         rows = rows.join(ledger.select(*CONTENT_KEY), CONTENT_KEY, "left_anti")
@@ -52,26 +54,35 @@ def append_evidence(
     if unique_external_ids:
         return top_n(rows, CONTENT_KEY, arrival)
     # A replay of one event in one bucket is the same row twice: keep one before the rounds.
-    rest = cut_lineage(top_n(rows, [*EXTERNAL_KEY, "content_hash", "observed_bucket"], arrival))
-    accepted = None
-    while True:
-        at = F.struct(*arrival)
-        by_ext = rest.groupBy(*EXTERNAL_KEY).agg(F.min(at).alias("_e"))
-        by_con = rest.groupBy(*CONTENT_KEY).agg(F.min(at).alias("_c"))
-        first = cut_lineage(
-            rest.join(by_ext, EXTERNAL_KEY)
-            .join(by_con, CONTENT_KEY)
-            .filter((at == F.col("_e")) & (at == F.col("_c")))
-            .select(*rows.columns)
-        )
-        accepted = first if accepted is None else accepted.unionByName(first)
+    key = [*EXTERNAL_KEY, "content_hash", "observed_bucket"]
+    rows = cut_lineage(top_n(rows, key, arrival))
+    at = F.struct(*arrival)
+    narrow = rows.select(*dict.fromkeys([*key, "observed_at"]))
+
+    def marked(df: DataFrame) -> DataFrame:
+        by_ext = df.groupBy(*EXTERNAL_KEY).agg(F.min(at).alias("_e"), F.count("*").alias("_n_e"))
+        by_con = df.groupBy(*CONTENT_KEY).agg(F.min(at).alias("_c"), F.count("*").alias("_n_c"))
+        return df.join(by_ext, EXTERNAL_KEY).join(by_con, CONTENT_KEY)
+
+    first_round = cut_lineage(marked(narrow))
+    accepted = first_round.filter("_n_e = 1 AND _n_c = 1").select(*narrow.columns)
+    rest = first_round.filter("_n_e > 1 OR _n_c > 1").select(*narrow.columns)
+    while not rest.isEmpty():
+        first = cut_lineage(marked(rest).filter((at == F.col("_e")) & (at == F.col("_c"))).select(*narrow.columns))
+        accepted = accepted.unionByName(first)
         rest = cut_lineage(
-            rest.join(first.select(*EXTERNAL_KEY), EXTERNAL_KEY, "left_anti").join(
-                first.select(*CONTENT_KEY), CONTENT_KEY, "left_anti"
-            )
+            rest.join(first.select(*EXTERNAL_KEY), EXTERNAL_KEY, "left_anti").join(first.select(*CONTENT_KEY), CONTENT_KEY, "left_anti")
         )
-        if rest.isEmpty():
-            return accepted.select(*rows.columns)
+    return rows.join(accepted.select(*key), key, "left_semi").select(*rows.columns)
+
+
+def _keyless() -> Column:
+    return F.col("source_id").isNull() | F.col("external_id").isNull() | F.col("content_hash").isNull() | F.col("observed_at").isNull()
+
+
+def keyless_items(raw: DataFrame) -> DataFrame:
+    """The rows of ``raw`` that the ledger cannot take, because a part of their keys is missing."""
+    return raw.filter(_keyless())
 
 
 def link_evidence(observations: DataFrame) -> DataFrame:

@@ -253,27 +253,28 @@ def normalize_search_results(raw: DataFrame) -> DataFrame:
     )
 
 
-MAX_PLACES = 5_000
-
-
 def normalize_job_postings(raw: DataFrame, lexicon: DataFrame, countries: DataFrame) -> DataFrame:
     """Job postings (N7): role and geography give the signal strength.
 
     Places are plain substrings of title and location, a country code must be a word of the
-    location. The place list is a bounded dimension and is checked to be one.
+    location. Each distinct text is cut into its substrings of the lengths that places have and meets them by
+    equality, so the list of places may have any size.
     """
-    forms = lexicon.filter(F.col("kind").isin("country", "hub")).select(F.when(F.col("kind") == "hub", F.col("term")).otherwise(F.col("entity")).alias("place"), F.lower("term").alias("form"))
-    rows = forms.limit(MAX_PLACES + 1).collect()
-    codes = countries.select("name", F.lower("iso2").alias("iso2")).limit(MAX_PLACES + 1).collect()
-    if len(rows) > MAX_PLACES or len(codes) > MAX_PLACES:
-        raise ValueError(f"more than {MAX_PLACES} places")
-    pair = lambda xs: F.array(*[F.struct(F.lit(a).alias("place"), F.lit(b).alias("form")) for a, b in xs])
+    forms = lexicon.filter(F.col("kind").isin("country", "hub")).select(F.when(F.col("kind") == "hub", F.col("term")).otherwise(F.col("entity")).alias("place"), F.lower("term").alias("form")).filter("form <> ''")
+    codes = countries.select(F.col("name").alias("place"), F.lower("iso2").alias("form"))
     df = raw.withColumn("p", F.from_json("payload", "org_name string, title string, location string, url string"))
     title, loc = F.coalesce("p.title", F.lit("")), F.coalesce("p.location", F.lit(""))
-    df = with_once(df, _title=title, _loc=loc, _text=F.concat(title, F.lit(" "), loc), _low=F.lower(F.concat(title, F.lit(" "), loc)))
-    named = F.filter(pair(rows), lambda x: F.col("_low").contains(x["form"]))["place"]
-    coded = F.filter(pair(codes), lambda x: F.array_contains(F.split(F.lower("_loc"), r"\s+"), x["form"]))["place"]
-    df = with_once(df, _geo=F.array_sort(F.array_distinct(F.concat(named, coded))), _role=F.lower("_title").rlike(rf"(?<![\p{{L}}\p{{N}}_])({JOB_ROLES})(?![\p{{L}}\p{{N}}_])"))
+    df = with_once(df, _title=title, _loc=loc, _text=F.concat(title, F.lit(" "), loc), _low=F.lower(F.concat(title, F.lit(" "), loc)), _words=F.lower(loc))
+    lengths = sorted(r[0] for r in forms.select(F.length("form").alias("n")).distinct().collect())  # no more than a name has characters
+    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    cut = lambda x: F.transform(F.sequence(F.lit(1), F.length("_low") - x + 1), lambda i: F.substring(F.col("_low"), i, x))
+    parts = F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda x: x <= F.length("_low")), cut)))
+    texts = df.select("_low", "_words").distinct()
+    named = texts.select("_low", "_words", F.explode(parts).alias("form")).join(forms, "form")
+    coded = texts.select("_low", "_words", F.explode(F.array_distinct(F.split("_words", r"\s+"))).alias("form")).join(codes, "form")
+    places = named.unionByName(coded).groupBy("_low", "_words").agg(F.collect_set("place").alias("_places"))  # of one text
+    df = df.join(places, ["_low", "_words"], "left")
+    df = with_once(df, _geo=F.array_sort(F.coalesce("_places", F.array().cast("array<string>"))), _role=F.lower("_title").rlike(rf"(?<![\p{{L}}\p{{N}}_])({JOB_ROLES})(?![\p{{L}}\p{{N}}_])"))
     strength = F.when(F.col("_role") & (F.size("_geo") > 0), 1.0).when(F.col("_role") & any_contains(F.col("_low"), ("emea", "africa")), 0.6).otherwise(0.2)
     kind = F.when(any_contains(F.lower("_title"), ("bd", "manager")), "market_entry_bd").otherwise("developer_relations")
     url = F.coalesce("p.url", F.lit(""))

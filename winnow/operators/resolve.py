@@ -7,6 +7,8 @@ can grow without bound (identifiers, URLs, evidence references) stay rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -324,26 +326,21 @@ def upsert_contacts(new: DataFrame, existing: DataFrame | None = None, value: st
 def visible_events(events: DataFrame, cutoffs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Events visible at each cutoff.
 
-    Every event is copied to the cutoffs from the first one on or after it. Cutoffs are few and
-    form a sorted array literal, so the copy is a row-local slice and not a range join.
-    ``excluded`` holds (ablation, source_family) rows; ablation ``""`` is the baseline.
+    Cutoffs are spread to the days from the first event on, so events meet them in an equi-join by day, however
+    many there are. ``excluded`` holds (ablation, source_family) rows; ablation ``""`` is the
+    baseline. Its distinct names travel with the plan as one array, all of them.
     """
-    days = [r[0] for r in cutoffs.select("cutoff").distinct().orderBy("cutoff").limit(MAX_CUTOFFS + 1).collect()]
-    if len(days) > MAX_CUTOFFS:
-        raise ValueError(f"at most {MAX_CUTOFFS} cutoffs per run; split the sweep")
-    arr = F.array(*[F.lit(d).cast("timestamp") for d in days])
-    seen = events.select("*", F.explode(F.filter(arr, lambda c: c >= F.col("observed_at"))).alias("cutoff"))
+    first = events.agg(F.min(F.to_date("observed_at"))).first()[0]
+    day = F.to_date("cutoff")
+    days = cutoffs.select("cutoff").distinct().filter(day >= F.lit(first)).select("cutoff", F.explode(F.sequence(F.lit(first).cast("date"), day)).alias("_day"))
+    seen = events.withColumn("_day", F.to_date("observed_at")).join(days, "_day").filter(F.col("cutoff") >= F.col("observed_at")).drop("_day")
     if excluded is None:
         return seen
-    ab = excluded.select("ablation").distinct().limit(MAX_CUTOFFS).collect()
-    names = F.array(*[F.lit(r[0]) for r in ab])
-    seen = seen.select("*", F.explode(names).alias("ablation"))
+    names = json.dumps([r[0] for r in excluded.select("ablation").distinct().orderBy("ablation").collect()])
+    seen = seen.select("*", F.explode(F.from_json(F.lit(names), "array<string>")).alias("ablation"))
     return seen.filter((F.col("ablation") == "") | (F.col("source_family") != F.col("ablation")))
 
 
-MAX_CUTOFFS = 5000
-
-
 def candidate_documents(candidates: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     """Candidates with their child rows as JSON (J22), long form (candidate_id, section, key, doc).
 

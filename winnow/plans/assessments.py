@@ -299,8 +299,8 @@ def _card_base(spark, sf):
 @query(
     "evidence_cards",
     "P5 W5",
-    _ALL.replace("WITH ", "WITH ev AS (SELECT user_id AS candidate_id, count(*) AS n FROM events GROUP BY 1),\n", 1) + """SELECT candidate_id, coalesce(n, 0) AS evidence_count, CASE WHEN state = 'HOT' AND (intent_label LIKE 'A1%' OR intent_label LIKE 'A2%') THEN 'Prepare Africa launch brief for ' || CASE WHEN candidate_id % 2 = 0 THEN 'Kenya, Nigeria' ELSE 'regional expansion' END
- WHEN state = 'HOT' THEN 'Human review; verify technical readiness & explore DevRel/Validator entry' WHEN state = 'QUALIFIED' THEN 'Review in morning digest queue; evaluate BD fit' ELSE 'Watch on Radar' END AS recommendation FROM joined LEFT JOIN ev USING (candidate_id)""",
+    _ALL.replace("WITH ", "WITH ev AS (SELECT user_id AS candidate_id, count(*) AS n FROM events GROUP BY 1),\n", 1) + """SELECT candidate_id, coalesce(n, 0) AS evidence_count, CASE WHEN state = 'HOT' AND (intent_label LIKE 'A1%' OR intent_label LIKE 'A2%') THEN 'Write a launch brief covering ' || CASE WHEN candidate_id % 2 = 0 THEN 'Kenya, Nigeria' ELSE 'regional expansion' END
+ WHEN state = 'HOT' THEN 'Have a person check readiness and possible entry points' WHEN state = 'QUALIFIED' THEN 'Discuss in the daily digest' ELSE 'Keep watching' END AS recommendation FROM joined LEFT JOIN ev USING (candidate_id)""",
 )
 def _(spark, sf):
     return _card_base(spark, sf).select("candidate_id", "evidence_count", "recommendation")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -243,11 +242,11 @@ def corpus(spark, sf):
     pos = k % 4 != 0
     ev = lambda *xs: F.array(*[F.struct(F.lit(f).alias("family"), F.lit(d).alias("day_offset")) for f, d in xs])
     start = F.lit("2026-01-01 00:00:00").cast("timestamp") + F.expr("interval 1 day") * (k % 28)
-    text = F.when(k % 2 == 0, F.concat(F.lit("Chain "), "c_name", F.lit(" public testnet, hackathon and africa expansion in Nigeria (Lagos)."))).otherwise(F.concat("c_name", F.lit(" remittance and stablecoin payments mainnet beta.")))
+    text = F.when(k % 2 == 0, F.concat(F.lit("Chain "), "c_name", F.lit(" opened its test network; a hackathon in Lagos, Nigeria begins the africa expansion."))).otherwise(F.concat("c_name", F.lit(" moves remittance volume in a stablecoin on its beta main network.")))
     return c.select(
         F.col("c_name").alias("name"), k.alias("ordinal"), pos.alias("is_positive"), start.alias("first_eligible_signal"),
         F.when(pos, F.lit("2026-06-01 00:00:00").cast("timestamp") + F.expr("interval 1 day") * (k % 28)).alias("mainnet_live_at"),
-        F.when(pos, text).otherwise("Token presale, contract 0x12345.").alias("sample_text"),
+        F.when(pos, text).otherwise("Buy at presale price, token address 0xfeed.").alias("sample_text"),
         F.when(pos & (k % 2 == 0), "A1_explicit_intent").when(pos, "A3_africa_compatible").alias("expected_label"),
         pos.alias("verified_genesis"), pos.alias("has_domain"), pos.alias("has_repo"),
         F.when(~pos, "S0_research_hint").when(k % 2 == 0, "S2_public_testnet").otherwise("S4_mainnet_announced").alias("stage"),
@@ -362,11 +361,20 @@ def _stream(spark, sf, cols):
 
 
 def _run(df, mode="append"):
-    """Run a stream over all its input and return what it wrote."""
-    name = "s" + uuid.uuid4().hex
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all its input and return what it wrote: a table in the shared folder.
+
+    A batch has its own part of the table and overwrites it when it is replayed.
+    """
+    from winnow.plans.ledger import _scratch
+
+    base = _scratch(df.sparkSession)
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
 
 
 def _ev_cols():
