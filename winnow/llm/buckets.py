@@ -1,7 +1,7 @@
 """Linked pairs among the members of hash buckets, without all pairs of a bucket.
 
 Each bucket holds its members against one of them, its representative. What is not linked to it meets
-up to ``REPS`` others of its bucket in the next round, until nothing is left. The distance is a metric, so a
+others of its bucket in the next round, ``MORE`` times as many in each, until nothing is left. The distance is a metric, so a
 member that is linked to a representative can be linked to one that is not only if their distances to it differ by no
 more than the reach of a link: those pairs, if still in different components, are compared too. Every pair
 that shares a bucket is so either compared, connected through others, or impossible.
@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.components import connected_components
-from winnow.llm.store import saved
+from winnow.llm.store import saved, shared_folder
 
-#: Representatives of a bucket from the second round on.
-REPS = 16
+#: Representatives of a bucket in each round: so many times more than in the round before.
+MORE = 8
 
 Compare = Callable[[DataFrame], DataFrame]
 
@@ -45,35 +45,34 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Compare], reac
     ``prepare`` gets the nodes that share buckets and returns the comparison, which adds ``far`` and ``linked``
     to distinct (``rep``, ``node``) pairs. Linked pairs are within ``reach`` in the metric ``far``.
     """
-    members = saved(with_reps(bands, 1))
+    spark = bands.sparkSession
+    path = shared_folder(spark)
+    members, number = saved(with_reps(bands, 1)), 0
     compare = prepare(members.select("node").distinct())
-    edges, border = None, []
     while True:
         dist = saved(compare(members.filter("node <> rep").select("rep", "node").distinct()))
         if dist.isEmpty():
             break
-        linked = dist.filter("linked").select(F.col("rep").alias("src"), F.col("node").alias("dst"))
-        edges = linked if edges is None else edges.unionByName(linked)
-        seen = members.join(dist, ["rep", "node"])
-        border.append((
-            seen.filter("linked").select("key", "rep", F.col("node").alias("x"), F.col("far").alias("x_far")),
-            seen.filter(~F.col("linked") & (F.col("far") <= 2 * reach + 1e-9)).select("key", "rep", F.col("node").alias("y"), F.col("far").alias("y_far")),
-        ))
+        # One folder for all rounds keeps later plans small.
+        members.join(dist, ["rep", "node"]).write.option("compression", "zstd").parquet(f"{path}/round={number}")
+        seen = spark.read.parquet(f"{path}/round={number}")
+        number += 1
         # A member that is linked to a representative, or is one, has met all it has to.
         done = seen.filter("linked").select("key", "node").unionByName(members.select("key", F.col("rep").alias("node"))).distinct()
         rest = members.select("key", "node").distinct().join(done, ["key", "node"], "left_anti")
-        members = saved(with_reps(rest, REPS))
-    if edges is None:
+        members = saved(with_reps(rest, MORE**number))
+    if not number:
         return bands.select(F.col("node").alias("src"), F.col("node").alias("dst")).limit(0)
+    seen = spark.read.parquet(path)
+    edges = saved(seen.filter("linked").select(F.col("rep").alias("src"), F.col("node").alias("dst")).distinct())
     named = saved(connected_components(edges))
     y = named.select(F.col("node").alias("y"), F.col("component").alias("y_c"))
     r = named.select(F.col("node").alias("rep"), F.col("component").alias("rep_c"))
-    more = None
-    for ins, outs in border:
-        # Only those that no other bucket has brought into the component of the representative.
-        apart = outs.join(r, "rep").join(y, "y", "left").filter(~F.col("rep_c").eqNullSafe(F.col("y_c")))
-        close = apart.join(ins, ["key", "rep"]).filter(F.abs(F.col("x_far") - F.col("y_far")) <= reach + 1e-9)
-        close = close.select(F.col("x").alias("rep"), F.col("y").alias("node"))
-        more = close if more is None else more.unionByName(close)
-    late = saved(compare(more.distinct()).filter("linked").select(F.col("rep").alias("src"), F.col("node").alias("dst")))
+    ins = seen.filter("linked").select("round", "key", "rep", F.col("node").alias("x"), F.col("far").alias("x_far"))
+    outs = seen.filter(~F.col("linked") & (F.col("far") <= 2 * reach + 1e-9)).select("round", "key", "rep", F.col("node").alias("y"), F.col("far").alias("y_far"))
+    # Only those that no other bucket has brought into the component of the representative.
+    apart = outs.join(r, "rep").join(y, "y", "left").filter(~F.col("rep_c").eqNullSafe(F.col("y_c"))).drop("rep_c", "y_c")
+    close = apart.join(ins, ["round", "key", "rep"]).filter(F.abs(F.col("x_far") - F.col("y_far")) <= reach + 1e-9)
+    more = close.select(F.col("x").alias("rep"), F.col("y").alias("node")).distinct()
+    late = saved(compare(more).filter("linked").select(F.col("rep").alias("src"), F.col("node").alias("dst")))
     return edges.unionByName(late)

@@ -28,6 +28,7 @@ SIDE, ROWS = 8, 3
 SHINGLE = 5
 #: Linked from this percentage of the union on.
 PERCENT = 85
+
 _FACTORS = mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = mix(np.arange(1001, 2 * SIDE * ROWS + 1001, dtype=np.uint64))
 _BLOCK = 4096

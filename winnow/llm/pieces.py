@@ -15,12 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 MARK = "▁"
 #: Entries of a task's memo of chunks; it starts anew when full.
-MEMO = 600_000
-KEPT_CHARS = 48
+MEMO = 400_000
+KEPT_CHARS = 40
+#: Documents whose results leave a task together.
+SLICE = 500
 #: Fixed value: how much worse than the worst piece an unknown character scores.
 UNKNOWN_PENALTY = 10.0
 
@@ -87,6 +89,7 @@ class PieceModel:
     dummy_prefix: bool
     split: str
     end_id: int = 2
+    by_words: bool = True
 
     @staticmethod
     def load(path: str) -> PieceModel:
@@ -115,27 +118,35 @@ class PieceModel:
         lines = not any("\n" in p for p in normal)
         split = "(?s).+" if whole else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if lines else f"(?s){MARK}*[^{MARK}]+|{MARK}+"
         scores = np.array([p.score for p in proto.pieces], np.float64)
-        return PieceModel(DoubleArray(keys, ids), scores, texts, byte_ids, proto.trainer_spec.unk_id, norm.add_dummy_prefix, split, proto.trainer_spec.eos_id)
+        return PieceModel(DoubleArray(keys, ids), scores, texts, byte_ids, proto.trainer_spec.unk_id, norm.add_dummy_prefix, split, proto.trainer_spec.eos_id, lines and not whole)
 
 
-class Encoder(dict):
-    """Memo from a chunk to its piece ids as ``<i4`` bytes. No piece crosses the border of two chunks."""
+class _Memo(dict):
+    """From a word to its piece ids as ``<i4`` bytes; ``prefix`` stands before the word."""
 
-    def __init__(self, model: PieceModel):
+    def __init__(self, encoder: Encoder, prefix: str):
         super().__init__()
+        self.encoder, self.prefix = encoder, prefix
+
+    def __missing__(self, word: str) -> bytes:
+        out = np.array(self.encoder.viterbi((self.prefix + word).encode()), "<i4").tobytes()
+        if len(self) >= MEMO:
+            self.clear()
+        if len(word) <= KEPT_CHARS:
+            self[word] = out
+        return out
+
+
+class Encoder:
+    """Encodes whole texts chunk by chunk: no piece crosses the border of two chunks."""
+
+    def __init__(self, model: PieceModel):
         self.model = model
         self.base, self.check, self.value = (x.tolist() for x in (model.trie.base, model.trie.check, model.trie.value))
         self.scores = model.scores.tolist()
         self.unknown = min(self.scores[i] for i in self.value if i >= 0) - UNKNOWN_PENALTY
         self.chunks = re.compile(model.split).findall
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = np.array(self.viterbi(chunk.encode()), "<i4").tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        if len(chunk) <= KEPT_CHARS:
-            self[chunk] = out
-        return out
+        self.marked, self.bare = _Memo(self, MARK), _Memo(self, "")
 
     def viterbi(self, data: bytes) -> list[int]:
         """Ids of the best path. Of equal paths the one whose last piece begins first wins."""
@@ -179,8 +190,21 @@ class Encoder(dict):
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        text = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self.__getitem__, self.chunks(text))), "<i4")
+        marked, bare, out = self.marked.__getitem__, self.bare.__getitem__, []
+        if not self.model.by_words:
+            out += map(bare, self.chunks((MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)))
+            return np.frombuffer(b"".join(out), "<i4")
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append(bare("\n"))
+            words = line.split(" ")
+            start = not k and self.model.dummy_prefix
+            if "" in words:  # runs of spaces, which are chunks with the word after them
+                out += map(bare, self.chunks((MARK if start else "") + line.replace(" ", MARK)))
+            else:
+                out.append((marked if start else bare)(words[0]))
+                out += map(marked, words[1:])
+        return np.frombuffer(b"".join(out), "<i4")
 
 
 def decode_ids(ids, model: PieceModel) -> str:
@@ -216,7 +240,8 @@ def encoded(text: Column | str, shared) -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoder_of(shared)
         for texts in batches:
-            yield pd.Series([None if t is None else e.encode(t) for t in texts], dtype=object)
+            for a in range(0, len(texts), SLICE):
+                yield pd.Series([None if t is None else e.encode(t) for t in texts.iloc[a : a + SLICE]], dtype=object)
 
     return encode.asNondeterministic()(text)
 
@@ -250,11 +275,25 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     Only a text that itself holds the marker (U+2581) is not given back: the marker becomes a space.
     Null texts have null results; columns with the names of results are replaced.
     """
-    model = _LOADED.get(path) or PieceModel.load(path)
-    low, high = min(model.byte_ids), max(model.byte_ids)
-    out = decode_documents(encode_documents(docs, path), path, "_back")
-    in_bytes = F.size(F.filter("ids", lambda i: (i >= low) & (i <= high))) if low >= 0 and high - low == 255 else F.lit(0)
-    return out.select(
-        *[c for c in docs.columns if c not in {"ids", "n_pieces", "n_byte_pieces", "exact"}], "ids", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_pieces"),
-        F.when(F.col("ids").isNotNull(), in_bytes.cast("long")).alias("n_byte_pieces"), (F.col("_back") == F.col("text")).alias("exact"),
-    )
+    shared = shared_model(docs, path)
+    new = StructType([StructField("ids", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("n_byte_pieces", LongType()), StructField("exact", BooleanType())])
+
+    @F.pandas_udf(new)
+    def both_ways(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        e = encoder_of(shared)
+        in_bytes = np.zeros(len(e.model.texts), bool)
+        in_bytes[[i for i in e.model.byte_ids if i >= 0]] = True
+        for texts in batches:
+            for a in range(0, len(texts), SLICE):
+                rows = []
+                for t in texts.iloc[a : a + SLICE]:
+                    if t is None:
+                        rows.append((None, None, None, None))
+                    else:
+                        ids = e.encode(t)
+                        rows.append((ids, len(ids), int(in_bytes[ids].sum()), decode_ids(ids.tolist(), e.model) == t))
+                out = pd.DataFrame(rows, columns=new.fieldNames())
+                yield out.astype({"n_pieces": "Int64", "n_byte_pieces": "Int64", "exact": "boolean"})
+
+    keep = [c for c in docs.columns if c not in new.fieldNames()]
+    return docs.withColumn("_both", both_ways.asNondeterministic()("text")).select(*keep, "_both.*")
