@@ -23,19 +23,32 @@ MORE = 8
 Compare = Callable[[DataFrame], DataFrame]
 
 
+def bucket_members(bands: DataFrame) -> DataFrame:
+    """(key, node, score) of the buckets with more than one member; a node's ``score`` is the number of members in all its buckets.
+
+    The text that others were copied from shares more buckets with the copies than they share with each
+    other, so the greatest score marks the member that is linked to most.
+    """
+    dealt = bands.repartition("key")
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = saved(dealt.join(sizes.hint("merge"), "key"))
+    scores = shared.groupBy("node").agg(F.sum("n").alias("score"))
+    return saved(shared.drop("n").join(scores, "node"))
+
+
 def with_reps(members: DataFrame, n: int) -> DataFrame:
-    """``members`` (key, node) with each of up to ``n`` representatives of their bucket.
+    """``members`` (key, node, score) with each of up to ``n`` representatives of their bucket, by score.
 
-    The order of a bucket's members is one of four, so that members far from one representative of a
-    large group meet others. Members are distinct texts and each is in many buckets, so the largest bucket is a small
+    Members are distinct texts and each is in many buckets, so the largest bucket is a small
     share of all rows; its rows stream past the representatives.
     """
-    order = F.xxhash64("node", F.pmod("key", F.lit(4)))
     dealt = members.repartition("key")
     if n == 1:
-        reps = dealt.groupBy("key").agg(F.min(F.struct(order, F.col("node").alias("rep"))).alias("r"), F.count("*").alias("n")).filter("n > 1").select("key", "r.rep")
+        best = F.min(F.struct((-F.col("score")).alias("s"), F.col("node").alias("rep")))
+        reps = dealt.groupBy("key").agg(best.alias("r"), F.count("*").alias("n")).filter("n > 1").select("key", "r.rep")
     else:
-        reps = dealt.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(order, "node"))).filter(F.col("k") <= n).select("key", F.col("node").alias("rep"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
+        reps = dealt.withColumn("k", place).filter(F.col("k") <= n).select("key", F.col("node").alias("rep"))
     return dealt.join(reps.hint("merge"), "key")
 
 
@@ -47,7 +60,7 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Compare], reac
     """
     spark = bands.sparkSession
     path = shared_folder(spark)
-    members, number = saved(with_reps(bands, 1)), 0
+    members, number = saved(with_reps(bucket_members(bands), 1)), 0
     compare = prepare(members.select("node").distinct())
     while True:
         dist = saved(compare(members.filter("node <> rep").select("rep", "node").distinct()))
@@ -59,7 +72,7 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Compare], reac
         number += 1
         # A member that is linked to a representative, or is one, has met all it has to.
         done = seen.filter("linked").select("key", "node").unionByName(members.select("key", F.col("rep").alias("node"))).distinct()
-        rest = members.select("key", "node").distinct().join(done, ["key", "node"], "left_anti")
+        rest = members.select("key", "node", "score").distinct().join(done, ["key", "node"], "left_anti")
         members = saved(with_reps(rest, MORE**number))
     if not number:
         return bands.select(F.col("node").alias("src"), F.col("node").alias("dst")).limit(0)
@@ -68,11 +81,11 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Compare], reac
     named = saved(connected_components(edges))
     y = named.select(F.col("node").alias("y"), F.col("component").alias("y_c"))
     r = named.select(F.col("node").alias("rep"), F.col("component").alias("rep_c"))
-    ins = seen.filter("linked").select("round", "key", "rep", F.col("node").alias("x"), F.col("far").alias("x_far"))
-    outs = seen.filter(~F.col("linked") & (F.col("far") <= 2 * reach + 1e-9)).select("round", "key", "rep", F.col("node").alias("y"), F.col("far").alias("y_far"))
+    ins = seen.filter("linked").select("rep", F.col("node").alias("x"), F.col("far").alias("x_far")).distinct()
+    outs = seen.filter(~F.col("linked") & (F.col("far") <= 2 * reach + 1e-9)).select("rep", F.col("node").alias("y"), F.col("far").alias("y_far")).distinct()
     # Only those that no other bucket has brought into the component of the representative.
     apart = outs.join(r, "rep").join(y, "y", "left").filter(~F.col("rep_c").eqNullSafe(F.col("y_c"))).drop("rep_c", "y_c")
-    close = apart.join(ins, ["round", "key", "rep"]).filter(F.abs(F.col("x_far") - F.col("y_far")) <= reach + 1e-9)
+    close = apart.join(ins, "rep").filter(F.abs(F.col("x_far") - F.col("y_far")) <= reach + 1e-9)
     more = close.select(F.col("x").alias("rep"), F.col("y").alias("node")).distinct()
     late = saved(compare(more).filter("linked").select(F.col("rep").alias("src"), F.col("node").alias("dst")))
     return edges.unionByName(late)
