@@ -21,18 +21,13 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class AlertDedup(StatefulProcessor):
-    """Lets an alert pass unless one with its key passed within the window.
+    """Lets an alert pass unless one with its key passed within the window. One timestamp is kept for each key."""
 
-    State that was not written for ``keep_seconds`` expires, so keys that never return do not stay; late alerts
-    are expected within that time.
-    """
-
-    def __init__(self, window_seconds: int = 86400, keep_seconds: int | None = None) -> None:
+    def __init__(self, window_seconds: int = 86400) -> None:
         self.window = window_seconds
-        self.keep = keep_seconds or 2 * window_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_sent", "at timestamp", self.keep * 1000)
+        self.last = handle.getValueState("last_sent", "at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -77,7 +72,7 @@ class ProbeLiveness(StatefulProcessor):
 def stream_alerts(transitions: DataFrame, window_seconds: int = 86400) -> DataFrame:
     """Alerts to send from a stream of (dedup_key, at) (T5)."""
     return transitions.select("dedup_key", "at").groupBy("dedup_key").transformWithStateInPandas(
-        AlertDedup(window_seconds), "dedup_key string, sent_at timestamp", "Append", "ProcessingTime"
+        AlertDedup(window_seconds), "dedup_key string, sent_at timestamp", "Append", "None"
     )
 
 
