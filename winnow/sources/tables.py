@@ -26,12 +26,10 @@ def read_raw_items(spark: SparkSession, path: str, fmt: str = "json", schema: st
 def append_table(df: DataFrame, path: str, date_of: str = "observed_at", partition: str = "observed_date") -> None:
     """Append to a date-partitioned parquet table.
 
-    Rows are spread by date and a salt, so a date that holds most rows is written by many tasks.
+    Rows are rebalanced by date: AQE splits a date that holds most rows over many tasks and keeps a small one whole.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = df.withColumn(partition, F.to_date(date_of)).withColumn("_salt", F.pmod(F.xxhash64(*df.columns[:2]), F.lit(max(1, n // 4))))
-    out.repartition(partition, "_salt").drop("_salt").write.mode("append").partitionBy(partition).parquet(path)
+    out = df.withColumn(partition, F.to_date(date_of)).hint("rebalance", partition)
+    out.write.mode("append").partitionBy(partition).parquet(path)
 
 
 def export_rows(queue: DataFrame, rounds: DataFrame) -> DataFrame:
