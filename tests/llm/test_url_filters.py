@@ -38,3 +38,11 @@ def test_odd_tables(spark):
     out = U.judge_urls(d, U.rule_table(spark))
     assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and out.first().verdict == "block"
     assert judge(spark, ["x://a.b/"], rules=()) == [("a.b", "/", None, "allow")]
+
+
+def test_targets_that_are_no_pages(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    pages = [("http://a.net/1", link("http://example.org/es/5")), "http://b.net/1", ("http://c.com/fr2/", link("//m.com/de/1")), ("http://m.com/fx/y/z?q", link("../../de/./k")), ("http://m.com/q", link("/de/7")),
+             ("http://d.net/1", link("http://d.net/2") + link("http://m.com/de/9")), ("http://e.net/1", link("http://m.com/de/8") + link("http://x.org/")), ("http://f.net/", link("mailto:a@m.com/de/"))]
+    got = [v for *_, v in judge(spark, pages, [("http://b.net/1", "http://m.com/de/2")])]
+    assert got == ["block", "block", "block", "block", "block", "block", "allow", "allow"]

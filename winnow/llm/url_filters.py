@@ -41,19 +41,36 @@ def address(url: Column) -> Column:
 
 
 def links_in(html: Column) -> Column:
-    """Targets of canonical links and of refreshing redirects in a page."""
+    """Targets of all canonical links and refreshing redirects in a page, as they stand there."""
     canonical = F.when(
         F.lower(html).contains("canonical"),
-        F.array(*[F.regexp_extract(html, p, 1) for p in (
+        F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (
             r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
             r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""",
         )]),
-    ).otherwise(F.array(F.lit("")))
+    ).otherwise(F.array().cast("array<string>"))
     refresh = F.when(
         F.lower(html).contains("http-equiv"),
-        F.regexp_extract(html, r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*['"]?([^"'\s>]+)""", 1),
-    ).otherwise("")
-    return F.array_distinct(F.filter(F.array_append(canonical, refresh), lambda u: u.contains("://")))
+        F.regexp_extract_all(html, F.lit(r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*['"]?([^"'\s>]+)"""), F.lit(1)),
+    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(canonical, refresh))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """``target`` as a url, seen from the page ``base``; null for other schemes (``mailto:``) and from a base without ``://``."""
+    scheme, site = F.regexp_extract(base, r"(?s)^(.*?):", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    full = F.when(path == "", path_of(base)).when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path_of(base), r"(?s)[^/]*$", ""), "^/", ""), path))
+    parts = F.when(full.rlike(r"(^|/)\.\.?$"), F.concat(full, F.lit("/"))).otherwise(full)
+    kept = F.aggregate(
+        F.split(F.regexp_replace(parts, "^/", ""), "/"), F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s)),
+    )
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(site == "", None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .otherwise(F.concat(site, F.lit("/"), F.array_join(kept, "/"), rest))
+    )
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -76,18 +93,22 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def equivalence(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """(``address``, ``component``) of the addresses that a link or redirect joins to another one.
-
-    ``redirects`` may bring (``src``, ``dst``) urls from a crawl log. Only distinct edges enter the
-    graph; its rounds are kept in the shared folder.
-    """
-    found = pages.select(F.col("url").alias("src"), F.explode(links_in(F.col("html"))).alias("dst")) if "html" in pages.columns else None
+def url_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """Distinct (``src``, ``dst``) urls of links in the pages and of ``redirects``, which may come from a crawl log."""
+    found = pages.select(F.col("url").alias("src"), F.explode(links_in(F.col("html"))).alias("dst")).withColumn("dst", resolved(F.col("src"), F.col("dst"))) if "html" in pages.columns else None
     given = redirects.select("src", "dst") if redirects is not None else None
     both = given if found is None else found if given is None else found.unionByName(given)
     if both is None:
-        return pages.select(address(F.col("url")).alias("address"), F.lit("").alias("component")).limit(0)
-    edges = saved(both.select(address(F.col("src")).alias("src"), address(F.col("dst")).alias("dst")).filter("src <> dst").distinct())
+        both = pages.select(F.col("url").alias("src"), F.col("url").alias("dst")).limit(0)
+    return saved(both.filter("src <> dst").distinct())
+
+
+def equivalence(urls: DataFrame) -> DataFrame:
+    """(``address``, ``component``) of the addresses that an edge of ``urls`` joins to another one.
+
+    Only distinct edges enter the graph; its rounds are kept in the shared folder.
+    """
+    edges = saved(urls.select(address(F.col("src")).alias("src"), address(F.col("dst")).alias("dst")).filter("src <> dst").distinct())
     return connected_components(edges).select(F.col("node").alias("address"), "component")
 
 
@@ -97,8 +118,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     A null url, or one without ``://``, has an empty host and path, no rule and no alias, and is
     allowed. Repeated rows keep their number; columns with the names of results are replaced.
     """
-    by_url = match_rules(pages.filter("url is not null"), rules).withColumn("address", address(F.col("url")))
-    classes = equivalence(pages, redirects)
+    edges = url_edges(pages, redirects)
+    # Ends of edges that are no page are judged too, as their verdict reaches the pages of their class.
+    urls = pages.select("url").unionByName(edges.select(F.col("src").alias("url"))).unionByName(edges.select(F.col("dst").alias("url")))
+    by_url = match_rules(urls.filter("url is not null"), rules).withColumn("address", address(F.col("url")))
+    classes = equivalence(edges)
     named = F.coalesce("component", "address")
     judged = (
         by_url.join(classes, "address", "left").groupBy(named.alias("_class"))
