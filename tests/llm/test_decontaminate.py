@@ -58,3 +58,22 @@ def test_odd_tables(spark):
     assert [tuple(r)[:3] for r in D.contaminated(d, bench).collect()] == [(0, 1, 20)]
     assert D.contaminated(d, none).count() == 0 and D.contaminated(docs(spark, []), bench).count() == 0
     assert D.clean_documents(d, none).count() == 2 and D.clean_documents(d, none).columns == d.columns
+
+
+def test_substitutions_that_cost_more_than_an_end(spark):
+    """Enough tokens match, but the run with the best score is a part of them; and short items with one changed token."""
+    doc, item = np.arange(100), np.arange(40, 55).copy()
+    item[[1, 4, 13]] = 999
+    assert D.best_run(doc, item, 40, 2) == (12, 15, 40, 0)
+    r = random.Random(4)
+    for _ in range(300):
+        n = r.randint(10, 17)
+        subs = r.sample(range(n), n - D.DEFAULT_SEEDS.needed(n))
+        item = np.arange(30, 30 + n)
+        item[subs] = -1
+        assert D.best_run(doc, item, 30, 2)[0] >= D.DEFAULT_SEEDS.needed(n)
+    items = [words(50 + n, n) for n in range(5, 10)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], SCHEMA)
+    texts = [prose(30, 1) + " " + " ".join([*w[:k], "other", *w[k + 1 :]]) + " " + prose(30, 2) for w in items for k in range(len(w))] + [" ".join(w[1:]) for w in items]
+    got = {(x.doc_id, x.item_id) for x in D.contaminated(docs(spark, texts), bench).collect()}
+    assert got == set(enumerate([i for i, w in enumerate(items) for _ in w] + list(range(5))))

@@ -2,8 +2,8 @@
 
 A mask hashes some token positions of a window and ignores the others, so a window that differs at
 ignored positions keeps its hash. All windows of all test items are hashed under all masks; windows
-of the documents with the same hash are hits. Around each hit the texts are aligned without gaps and the best
-run of matching tokens, which may hold substitutions, decides.
+of the documents with the same hash are hits. Around each hit the texts are aligned without gaps and the run with
+most matching tokens, which may hold substitutions as long as its score is positive, decides.
 
 Documents are read once. A filter of fixed size over the test hashes lets most windows go at once; the join
 with the hashes themselves removes its false positives, so its size bears on speed and never on results.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -69,8 +70,13 @@ def seed_hashes(toks: np.ndarray, mask: str, number: int) -> np.ndarray:
 
 
 def all_masks(seeds: Seeds, short: list[int]) -> list[str]:
-    """The masks, and a full one for each length of items that are shorter than the span."""
-    return [*seeds.masks, *["1" * n for n in short]]
+    """The masks, and those for each length of items that are shorter than the span."""
+    return [*seeds.masks, *[m for n in short for m in short_masks(seeds, n)]]
+
+
+def short_masks(seeds: Seeds, n: int) -> list[str]:
+    """Masks that ignore any tokens an item of ``n`` may lack. One ignored at an end makes the mask shorter, so no token need stand there."""
+    return sorted({"".join("01"[i not in gone] for i in range(n)).strip("0") for gone in combinations(range(n), n - seeds.needed(n))})
 
 
 def item_table(benchmark: DataFrame, seeds: Seeds = DEFAULT_SEEDS) -> tuple[DataFrame, list[int]]:
@@ -88,7 +94,7 @@ def item_table(benchmark: DataFrame, seeds: Seeds = DEFAULT_SEEDS) -> tuple[Data
 
 
 def item_seeds(items: DataFrame, seeds: Seeds, short: list[int]) -> DataFrame:
-    """(seed, item_id, item_pos): each window of each item. An item shorter than the span is one window."""
+    """(seed, item_id, item_pos): each window of each item. An item shorter than the span has masks of its own."""
     masks = all_masks(seeds, short)
 
     @F.pandas_udf(ArrayType(StructType([StructField("seed", LongType()), StructField("item_pos", IntegerType())])))
@@ -96,9 +102,9 @@ def item_seeds(items: DataFrame, seeds: Seeds, short: list[int]) -> DataFrame:
         out = []
         for x in lists:
             t = np.asarray(x, np.int64).view(np.uint64)
-            found = []
+            found, own = [], set(short_masks(seeds, len(t))) if len(t) < seeds.span else set()
             for k, m in enumerate(masks):
-                if k < len(seeds.masks) and len(t) >= seeds.span or k >= len(seeds.masks) and len(t) == len(m):
+                if k < len(seeds.masks) and len(t) >= seeds.span or k >= len(seeds.masks) and m in own:
                     found += [(int(s), i) for i, s in enumerate(seed_hashes(t, m, k).view(np.int64))]
             out.append(found)
         return pd.Series(out, dtype=object)
@@ -174,14 +180,25 @@ def segments_of(toks: np.ndarray, masks: list[str], bits: np.ndarray, reach: int
 
 
 def best_run(doc: np.ndarray, item: np.ndarray, shift: int, penalty: int) -> tuple[int, int, int, int]:
-    """(matches, length, start in doc, start in item) of the run with the best score when item token i meets doc token i + shift."""
+    """(matches, length, start in doc, start in item) of the run with most matches and a positive score when item token i meets doc token i + shift.
+
+    Of runs with as many matches the shortest counts, and of these the first.
+    """
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
     same = item[a:b] == doc[a + shift : b + shift]
     score = np.concatenate([[0], np.cumsum(np.where(same, 1, -penalty))])
     lowest = np.minimum.accumulate(score)
-    end = int(np.argmax(score - lowest))
-    start = int(np.argmin(score[: end + 1]))
-    return int(same[start:end].sum()), end - start, a + start + shift, a + start
+    # The earliest start from which the score is positive leaves no matches out.
+    starts = np.minimum(np.searchsorted(-lowest, -score, side="right"), np.arange(len(score)))
+    matches = np.concatenate([[0], np.cumsum(same)])
+    inside = matches - matches[starts]
+    most = int(inside.max())
+    if not most:
+        return 0, 0, a + shift, a
+    hits, ends = np.flatnonzero(same), np.flatnonzero(inside == most)
+    first = hits[np.searchsorted(hits, starts[ends])]
+    k = int(np.argmin(ends - first))
+    return most, int(ends[k] - first[k]), a + int(first[k]) + shift, a + int(first[k])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = DEFAULT_SEEDS) -> DataFrame:
