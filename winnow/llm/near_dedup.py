@@ -29,8 +29,11 @@ SHINGLE = 5
 #: Linked from this percentage of the union on.
 PERCENT = 85
 
-_FACTORS = mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-_SHIFTS = mix(np.arange(1001, 2 * SIDE * ROWS + 1001, dtype=np.uint64))
+#: Half-keys of either collection for a similarity of 0.80: a pair there shares a bucket with a probability of 0.998.
+SIDE_80 = 10
+
+_FACTORS = mix(np.arange(1, 2 * SIDE_80 * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_SHIFTS = mix(np.arange(1001, 2 * SIDE_80 * ROWS + 1001, dtype=np.uint64))
 _BLOCK = 4096
 
 
@@ -47,15 +50,16 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def half_keys(shingles: np.ndarray) -> np.ndarray:
-    """The ``2 * SIDE`` half-keys of a set."""
-    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+def half_keys(shingles: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """The ``2 * side`` half-keys of a set."""
+    factors, shifts = _FACTORS[: 2 * side * ROWS], _SHIFTS[: 2 * side * ROWS]
+    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(shingles), _BLOCK):
-        np.minimum(low, (shingles[None, a : a + _BLOCK] * _FACTORS[:, None] + _SHIFTS[:, None]).min(axis=1), out=low)
+        np.minimum(low, (shingles[None, a : a + _BLOCK] * factors[:, None] + shifts[:, None]).min(axis=1), out=low)
     return gram_hashes(low, ROWS)[::ROWS].view(np.int64)
 
 
-def signatures(text: Column | str) -> Column:
+def signatures(text: Column | str, side: int = SIDE) -> Column:
     """Struct of ``n_shingles``, ``node`` and ``halves`` of a text; the last two are null for a text without words."""
 
     @F.pandas_udf(StructType([StructField("n_shingles", LongType()), StructField("node", LongType()), StructField("halves", ArrayType(LongType()))]))
@@ -65,7 +69,7 @@ def signatures(text: Column | str) -> Column:
             rows = []
             for t in texts:
                 s = shingle_set(t, memo)
-                rows.append((len(s), node_of(s), half_keys(s)) if len(s) else (0, None, None))
+                rows.append((len(s), node_of(s), half_keys(s, side)) if len(s) else (0, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "node", "halves"])
             out["node"] = pd.array([r[1] for r in rows], dtype="Int64")  # not by way of floats
             yield out
@@ -86,9 +90,9 @@ def shingle_sets(text: Column | str) -> Column:
     return sets.asNondeterministic()(text)
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
+def _bands(nodes: DataFrame, side: int) -> DataFrame:
     h = F.col("halves")
-    keys = [F.xxhash64(F.lit(i * SIDE + j), h[i], h[SIDE + j]) for i in range(SIDE) for j in range(SIDE)]
+    keys = [F.xxhash64(F.lit(i * side + j), h[i], h[side + j]) for i in range(side) for j in range(side)]
     return nodes.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -102,7 +106,7 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sizes.select("rep", "node", (1 - F.col("both") / union).alias("far"), (100 * F.col("both") >= percent * union).alias("linked"))
 
 
-def links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT, side: int = SIDE) -> DataFrame:
     """Edges (``src``, ``dst``) between nodes, with the components of all linked pairs that share a bucket.
 
     ``nodes`` has (node, halves, doc_id): one document for each distinct set. ``docs`` gives the
@@ -115,20 +119,20 @@ def links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFram
         sets = saved(texts.filter("s.node = _node").select("s.node", "s.shingles").dropDuplicates(["node"]))
         return lambda pairs: compare(pairs, sets, percent)
 
-    return bucket_links(_bands(nodes), prepare, 1 - percent / 100)
+    return bucket_links(_bands(nodes, side), prepare, 1 - percent / 100)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE) -> DataFrame:
     """(``doc_id``, ``n_shingles``, ``component_id``, ``kept``) for each row of ``docs``.
 
     A null or empty text has no shingles and is linked with nothing; a row without a doc_id has no
     component and is kept. Rows that repeat a doc_id each get the component of their own text. Only ``doc_id`` and ``text`` are
     read, so other columns may have any name.
     """
-    base = saved(docs.select("doc_id", signatures("text").alias("s")).select("doc_id", "s.n_shingles", "s.node", "s.halves"))
+    base = saved(docs.select("doc_id", signatures("text", side).alias("s")).select("doc_id", "s.n_shingles", "s.node", "s.halves"))
     named = base.filter("doc_id is not null and node is not null")
     nodes = saved(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("halves").alias("halves")))
-    groups = connected_components(links(nodes, docs, percent)).withColumnRenamed("node", "_node")
+    groups = connected_components(links(nodes, docs, percent, side)).withColumnRenamed("node", "_node")
     least = nodes.select("node", "doc_id").join(groups, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
     least = saved(least.select("node", "doc_id", "component"))
     first = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -138,12 +142,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return named.join(found, "node").select(*columns).unionByName(alone.select(*columns))
 
 
-def unique_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def unique_documents(docs: DataFrame, percent: int = PERCENT, side: int = SIDE) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the smallest doc_id.
 
     Rows that repeat the same doc_id count as one document. Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_duplicates(docs, percent, side).filter("kept and doc_id is not null").select("doc_id").distinct()
     rest = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rest.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
