@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import ORACLE_SQL, run
-from winnow.llm import decontaminate, line_dedup, lm_scores, near_dedup, pieces, pii, quality, token_counts, training_order, url_filters
+from winnow.llm import decontaminate, line_dedup, lm_scores, near_dedup, periodic_runs, pieces, pii, quality, token_counts, training_order, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +63,16 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.repeated_tails(_documents(spark, sf_dir).select("doc_id", "text"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_quality, op2_spaced_seed_overlaps, op3_prefix_token_counts, op4_unigram_pieces, op5_training_order, op6_fuzzy_line_dedup,
-        op7_bloom_lm_scores, op8_personal_data, op9_url_verdicts, op10_tensored_minhash,
+        op7_bloom_lm_scores, op8_personal_data, op9_url_verdicts, op10_tensored_minhash, op11_periodic_runs,
     )
 } | {"pipeline": run}
 ORACLES = {"op1_line_quality": quality.SQL_OP1, "op9_url_verdicts": url_filters.SQL_OP9, "op10_tensored_minhash": near_dedup.SQL_OP10}
