@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import ORACLE_SQL, run
-from winnow.llm import decontaminate, line_dedup, lm_scores, near_dedup, periodic_runs, pieces, pii, quality, token_counts, training_order, url_filters
+from winnow.llm import conversation_repair, decontaminate, line_dedup, lm_scores, near_dedup, periodic_runs, pieces, pii, quality, rule_ensemble, store, token_counts, training_order, url_filters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +68,24 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
 
 
+def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = store.saved(rule_ensemble.with_statistics(_documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    scored = rule_ensemble.quality_scores(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    chunks = conversation_repair.repair(conversation_repair.damaged(conversations))
+    return conversation_repair.with_lost(conversation_repair.digests(chunks), conversations)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_quality, op2_spaced_seed_overlaps, op3_prefix_token_counts, op4_unigram_pieces, op5_training_order, op6_fuzzy_line_dedup,
-        op7_bloom_lm_scores, op8_personal_data, op9_url_verdicts, op10_tensored_minhash, op11_periodic_runs,
+        op7_bloom_lm_scores, op8_personal_data, op9_url_verdicts, op10_tensored_minhash, op11_periodic_runs, op12_rule_ensemble,
+        op13_conversation_repair,
     )
 } | {"pipeline": run}
 ORACLES = {"op1_line_quality": quality.SQL_OP1, "op9_url_verdicts": url_filters.SQL_OP9, "op10_tensored_minhash": near_dedup.SQL_OP10}
