@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from winnow.functions.ordered import keep_first_per_gap, with_previous
+from winnow.functions.ordered import MIDDLE, keep_first_per_gap, previous_by_range, values_at_ranks, with_next_mark, with_previous
 from winnow.functions.text import chain_id, domain, normalize_name, redacted_url, stable_key
 from winnow.operators import ledger as L
 from winnow.operators import resolve as R
@@ -119,3 +119,83 @@ def test_long_hex_chain_ids(spark):
     vals = ["0x" + "F" * n for n in (1, 16, 17, 24, 31)] + ["0x" + "1" * 40, "0x", "0x0010", "abc"]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "c string").select(chain_id(F.col("c"))).collect()]
     assert got == [str(int(v, 16)) for v in vals[:5]] + [vals[5], "0x", "16", "abc"]
+
+
+def test_previous_row_by_range_equals_lag(spark):
+    rnd = random.Random(3)
+    # One key holds nearly all rows, and all of them at one moment.
+    rows = [(rnd.choice("aaaaaaaab"), T0, i, rnd.randrange(9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, id int, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = previous_by_range(df, ["k"], ["at", "id"], ["v"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = df.withColumn("prev_v", F.lag("v").over(W.partitionBy("k").orderBy("at", "id")))
+    assert sorted((r.id, r.prev_v or -1) for r in got) == sorted((r.id, r.prev_v or -1) for r in want.select("id", "prev_v").collect())
+
+
+def test_values_at_ranks(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("aaaab") if i % 50 else None, None if i % 9 == 0 else rnd.choice([1.5, 2.0, 7.25, rnd.random()])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.k: r for r in values_at_ranks(df, ["k"], "v", **MIDDLE, p90=lambda n: F.floor(F.lit(0.9) * (n - 1))).collect()}
+        whole = values_at_ranks(df, [], "v", **MIDDLE).first()
+        none = values_at_ranks(df.filter("v < 0"), [], "v", **MIDDLE).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for k in ("a", "b", None):
+        vals = sorted(v for x, v in rows if x == k and v is not None)
+        assert got[k].n == len(vals) and got[k]["_low"] == vals[(len(vals) - 1) // 2] and got[k]["_high"] == vals[len(vals) // 2] and got[k].p90 == vals[int(0.9 * (len(vals) - 1))]
+    every = sorted(v for _, v in rows if v is not None)
+    assert (whole["_low"] + whole["_high"]) / 2 == (every[(len(every) - 1) // 2] + every[len(every) // 2]) / 2
+    assert [r.n for r in none] in ([], [None])
+
+
+def test_next_mark(spark):
+    rnd = random.Random(6)
+    rows = [(i, T0 + timedelta(minutes=rnd.randrange(0, 3000, 5)), rnd.random() < 0.4) for i in range(2000)]
+    marks = sorted({T0 + timedelta(minutes=rnd.randrange(0, 2500, 5)) for _ in range(40)})
+    df = spark.createDataFrame(rows, "id int, _t timestamp, _late boolean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r["_mark"] for r in with_next_mark(df, spark.createDataFrame([(m,) for m in marks], "m timestamp"), ["id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == 2000
+    for i, t, late in rows:
+        assert got[i] == next((m for m in marks if (m > t if late else m >= t)), None)
+
+
+def test_alternating_chain_takes_logarithmic_rounds(spark):
+    """Each row conflicts with the one before it, by external id and by content in turn."""
+    from winnow.functions.matching import first_come
+
+    rows = [("s", f"e{(i + 1) // 2}", f"h{i // 2}", T0 + timedelta(milliseconds=i)) for i in range(1000)]
+    table = spark.createDataFrame(rows, RAW)
+    won, rounds = first_come(table, ["source_id", "external_id"], ["source_id", "content_hash"], ["observed_at"])
+    assert rounds <= 12
+    assert {(r.external_id, r.content_hash) for r in won.collect()} == {r[1:3] for r in rows[::2]}
+    assert {(r.source_id, r.external_id, r.content_hash) for r in ledger(spark, rows).collect()} == greedy(rows)
+
+
+def test_first_come_equals_greedy_on_dense_conflicts(spark):
+    from winnow.functions.matching import first_come
+
+    for seed in range(4):
+        rnd = random.Random(seed)
+        rows = [(f"a{rnd.randrange(3 + 12 * seed)}", f"b{rnd.randrange(4 + 9 * seed)}", i) for i in range(400)]
+        taken, want = (set(), set()), set()
+        for a, b, i in rows:
+            if a not in taken[0] and b not in taken[1]:
+                taken[0].add(a)
+                taken[1].add(b)
+                want.add(i)
+        won, _ = first_come(spark.createDataFrame(rows, "a string, b string, i int").repartition(3), ["a"], ["b"], ["i"])
+        assert {r.i for r in won.collect()} == want
+    # Tails that no minimum decides: every second row is first in neither of its keys.
+    rows = [(f"a{rnd.randrange(60)}", f"b{rnd.randrange(60)}", i) for i in range(300)]
+    empty, rounds = first_come(spark.createDataFrame(rows, "a string, b string, i int").limit(0), ["a"], ["b"], ["i"])
+    assert empty.count() == 0 and rounds == 0

@@ -372,3 +372,74 @@ def test_knowledge_base_matches_are_containment(spark):
     k = spark.createDataFrame([(10, ["chain"]), (11, ["chainworks labs", "abc"]), (12, ["longchain"]), (13, ["works"])], "kb_id long, names array<string>")
     got = {(r.candidate_id, r.kb_id) for r in FU.match_funding_kb(c, k).collect()}
     assert got == {(1, 10), (2, 10), (4, 10), (1, 11), (2, 11), (3, 11), (4, 12), (2, 12), (1, 13)}
+
+
+def test_swept_features_equal_features_of_visible_events(spark):
+    """The sweep against the product of events, cutoffs and ablations."""
+    import random
+
+    from winnow.operators.resolve import visible_events
+    from winnow.operators.score import evidence_features
+
+    rnd = random.Random(8)
+    fams = ["registry", "social", "careers", "official_web", "market", "unknown", None]
+    ev = [(f"c{rnd.randrange(6)}", f"s{rnd.randrange(5)}", rnd.choice(fams), T0 + timedelta(days=rnd.randrange(60), hours=rnd.choice([0, 0, 7]))) for _ in range(300)]
+    ev = spark.createDataFrame(ev, "candidate_id string, source_id string, source_family string, observed_at timestamp")
+    cuts = spark.createDataFrame([(T0 + timedelta(days=d),) for d in (-3, 0, 5, 14, 19, 33, 90)] * 2, "cutoff timestamp")
+    ab = spark.createDataFrame([("",), ("social",), ("registry",), ("none",)], "ablation string")
+    keys = ["candidate_id", "cutoff", "ablation"]
+    seen = visible_events(ev, cuts, ab)
+    want = evidence_features(seen, F.col("cutoff"), keys=tuple(keys))
+    cols = [*keys, "latest_evidence_at", "first_evidence_at", "evidence_count", "recent_count", "recent_sources", "recent_commercial", "n_families", "has_registry_evidence", F.round("freshness", 9).alias("freshness")]
+    got = sorted(map(str, B.swept_features(ev, cuts, ab).select(*cols).collect()))
+    assert got == sorted(map(str, want.select(*cols).collect())) and len(got) > 60
+    assert B.swept_features(ev, cuts).count() == want.filter("ablation = ''").count()
+    assert B.swept_features(ev.limit(0), cuts, ab).count() == 0 == B.swept_features(ev, cuts.limit(0)).count()
+
+
+def test_resolution_in_batches_equals_one_run(spark):
+    """Three batches on stored components, with the key changes they report, give what one run gives."""
+    import random
+
+    rnd = random.Random(12)
+    rows = [(f"e{i:03d}", T0 + timedelta(hours=rnd.randrange(400)), f"N{rnd.randrange(30)}", None, [f"d{rnd.randrange(25)}.io"] if i % 4 else [], [f"g{rnd.randrange(20)}"] if i % 3 == 0 else [], "evm", None, None, None) for i in range(120)]
+    whole = {r.evidence_id: r.org_id for r in R.resolve_organizations(spark.createDataFrame(rows, OBS)).collect()}
+    rnd.shuffle(rows)
+    old, keys = None, {}
+    for part in (rows[:50], rows[50:90], rows[90:]):
+        out = R.organization_batch(spark.createDataFrame(part, OBS), old)
+        changed = {r.old_key: r.new_key for r in out.changed.collect()}
+        keys = {e: changed.get(k, k) for e, k in keys.items()} | {r.evidence_id: r.org_id for r in out.resolved.collect()}
+        touched = out.labels.count()
+        old = out.applied_to(old)
+        assert old.labels.count() == old.labels.select("node").distinct().count() and old.heads.count() == old.labels.select("component").distinct().count()
+    assert keys == whole and touched < old.labels.count()
+
+
+def test_observations_without_identifiers_stay(spark):
+    obs = [("e0", T0, None, None, None, None, "evm", None, None, None), ("e1", T0, None, None, [], [], None, None, None, None), ("e2", T0, "K", None, ["k.io"], [], "evm", None, "9", None)]
+    df = R.resolve_organizations(spark.createDataFrame(obs, OBS))
+    ids = {r.evidence_id: r.org_id for r in df.collect()}
+    assert len(ids) == 3 and all(ids.values())
+    odd = R.with_network_identity(df).withColumn("org_id", F.when(F.col("evidence_id") == "e2", F.col("org_id"))).withColumn("slug", F.lit(None).cast("string"))
+    got = {r.evidence_id: r.candidate_id for r in R.resolve_candidates(odd).collect()}
+    assert len(got) == 3 and all(got.values())
+
+
+def test_automaton_equals_join_on_words(spark):
+    """Small lexicons take the automaton, large ones the join; both find the same."""
+    import random
+
+    rnd = random.Random(2)
+    lex = default_lexicon(spark).unionByName(spark.createDataFrame([("rail", "r", "$x-pay", False), ("rail", "q", "naïve  Pay", False), ("pan", "p", "áfrica ", False), ("hub", "h", "—", False)], SCHEMA))
+    terms = [r.term for r in lex.collect()]
+    glue = [" ", "  ", "-", "_", "x", ". ", "’", "́ ", " ", ""]
+    made = ["".join(rnd.choice([t, t.upper(), t.replace("e", "é")]) + rnd.choice(glue) for t in rnd.sample(terms, 6)) for _ in range(150)] + [None, ""]
+    docs = texts(spark, *made)
+    cols = ["doc_id", "kind", "entity", "term", "ambiguous"]
+    a = sorted(map(tuple, G.match_lexicon(docs, lex).select(*cols).collect()))
+    b = sorted(map(tuple, G.match_lexicon(docs, lex, max_terms=3).select(*cols).collect()))
+    assert a == b and len(a) > 300
+    assert G.match_lexicon(docs, lex.limit(0)).count() == 0
+    plan = G.match_lexicon(docs, lex)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

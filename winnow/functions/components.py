@@ -15,13 +15,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     minima per node, which combine on the map side, and joins them back, which AQE splits for hot
     nodes. Rounds grow with the logarithm of the graph; each ends in the checkpoint folder.
     """
-    e = cut_lineage(
-        edges.filter(F.col("src") != F.col("dst"))
-        .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        .distinct()
-    )
+    marks = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("x"))
+
+    def downward(pairs: DataFrame) -> DataFrame:
+        links = pairs.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        return links.distinct()
+
+    e, now = cut_lineage(downward(edges), *marks)
     mark = None
-    while True:
+    while mark != now:
+        mark = now
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = (
@@ -32,15 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(
             least.select("src", F.col("m").alias("dst"))
         )
-        e = cut_lineage(
-            small.filter(F.col("src") != F.col("dst"))
-            .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-            .distinct()
-        )
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
-        if mark == tuple(now):
-            break
-        mark = tuple(now)
+        e, now = cut_lineage(downward(small), *marks)
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(
         e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     )

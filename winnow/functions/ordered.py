@@ -7,6 +7,8 @@ one row per slice crossing slice borders.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -57,6 +59,77 @@ def with_previous(
     )
 
 
+def previous_by_range(df: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str = "prev_") -> DataFrame:
+    """Add ``<prefix><value>`` columns of the preceding row per key, in the order of the columns ``order``.
+
+    Equal to ``lag`` over the whole group. Rows are dealt by ranges of (keys, order), so a key is cut by the number of its
+    rows, however they lie in time; ``lag`` runs per range, and one row per range and key is carried to the next range.
+    """
+    from winnow.session import cut_lineage
+
+    dealt = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    packed = F.struct(*[F.col(v) for v in values])
+    w = W.partitionBy("_range", *keys).orderBy(*order)
+    inner = dealt.withColumn("_p", F.lag(packed).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = dealt.groupBy("_range", *keys).agg(F.max_by(packed, F.struct(*order)).alias("_t"))
+    # At most one key per border between ranges has a row to carry.
+    carried = last.withColumn("_t", F.lag("_t").over(W.partitionBy(*keys).orderBy("_range"))).filter(F.col("_t").isNotNull())
+    cond = [F.col(f"i.{k}").eqNullSafe(F.col(f"t.{k}")) for k in ("_range", *keys)]
+    joined = inner.alias("i").join(carried.alias("t"), [*cond, F.col("i._first")], "left")
+    prev = F.coalesce(F.col("i._p"), F.col("t._t"))
+    return joined.select(*[F.col(f"i.{c}") for c in df.columns], *[prev[v].alias(prefix + v) for v in values])
+
+
+def with_next_mark(rows: DataFrame, marks: DataFrame, ties: list[str]) -> DataFrame:
+    """Add ``_mark``: the first of ``marks`` (one column) that is not before ``_t``, or, where ``_late`` is true, the first one after it.
+
+    Rows and marks are swept together in ranges of time; a range hands its first mark to the ranges before it. ``ties`` are columns
+    that part the rows of one moment. Neither is multiplied by the other; null where no mark follows.
+    """
+    from winnow.session import cut_lineage
+
+    mark = marks.columns[0]
+    place = F.when(F.col("_late"), 2).otherwise(0)
+    both = rows.withColumn("_place", place).unionByName(
+        marks.distinct().select(F.col(mark).alias("_t"), F.lit(1).alias("_place"), F.col(mark).alias("_mark")), allowMissingColumns=True
+    )
+    dealt = cut_lineage(both.repartitionByRange("_t", "_place", *ties).withColumn("_range", F.spark_partition_id()))
+    # From the end on: a running value, which costs one step a row.
+    back = W.partitionBy("_range").orderBy(F.col("_t").desc(), F.col("_place").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = dealt.withColumn("_near", F.last("_mark", ignorenulls=True).over(back)).filter("_place <> 1")
+    # One row per range.
+    heads = dealt.groupBy("_range").agg(F.min("_mark").alias("_head"))
+    later = W.partitionBy(F.lit(0)).orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, -1)
+    heads = heads.withColumn("_far", F.last("_head", ignorenulls=True).over(later)).select("_range", "_far")
+    return near.join(heads, "_range").select(*rows.columns, F.coalesce("_near", "_far").alias("_mark"))
+
+
+def values_at_ranks(df: DataFrame, keys: list[str], value: str, **ranks: Callable[[Column], Column]) -> DataFrame:
+    """Per key the number ``n`` of its non-null values and the values at given ranks, counted from 0 in ascending order.
+
+    Each rank is a function of ``n``. Counts per distinct value are dealt by ranges of (keys, value) and summed up to each value,
+    first within the ranges, then over them, so no task holds all values of a key.
+    """
+    from winnow.session import cut_lineage
+
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    dealt = cut_lineage(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
+    upto = F.sum("_c").over(W.partitionBy("_range", *keys).orderBy(value))
+    sums = dealt.groupBy("_range", *keys).agg(F.sum("_c").alias("_s"))
+    group = W.partitionBy(*(keys or [F.lit(0)]))
+    before = F.sum("_s").over(group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("n", F.sum("_s").over(group))
+    cond = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("_range", *keys)]
+    rows = dealt.withColumn("_upto", upto).alias("d").join(sums.alias("s"), cond).select("d.*", "s.n", (F.col("s._before") + F.col("_upto")).alias("_end"))
+    n = F.col("n")
+    picked = [F.max(F.when((r(n) < F.col("_end")) & (r(n) >= F.col("_end") - F.col("_c")), F.col(value))).alias(name) for name, r in ranks.items()]
+    return rows.groupBy(*keys).agg(F.max("n").alias("n"), *picked)
+
+
+#: The two middle ranks, of which a median is the mean.
+MIDDLE = {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.ceil((n - 1) / 2)}
+
+
 def keep_first_per_gap(
     df: DataFrame, keys: list[str], at: str, gap_seconds: int, cut=None
 ) -> DataFrame:

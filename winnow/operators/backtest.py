@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from winnow.functions.ordered import top_n
-from winnow.functions.timefn import epoch
+from winnow.functions.ordered import MIDDLE, top_n, values_at_ranks, with_next_mark
+from winnow.functions.timefn import age_days, epoch
 from winnow.operators.geography import ACTIVE_FAMILIES, OFFICIAL_FAMILIES, extract_geography, feature_columns
-from winnow.operators.resolve import visible_events
-from winnow.operators.score import S4, evidence_features, score_columns
+from winnow.operators.resolve import numbered_cutoffs
+from winnow.operators.score import NOT_INDEPENDENT, S4, lookup, score_columns
 from winnow.settings import DEFAULT, Rules
 
 PROMOTED = ("HOT", "QUALIFIED")
@@ -27,6 +27,96 @@ def fixture_events(corpus: DataFrame) -> DataFrame:
     )
 
 
+def family_partials(events: DataFrame, cutoffs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """(candidate_id, cutoff, families): what each family's events up to a cutoff amount to.
+
+    Each event changes the running values of its source at two cutoffs: the first that sees it, and the first to which it is no longer
+    recent. Values are then carried on from cutoff to cutoff. ``families`` has one entry per family of the candidate.
+    """
+    marks = cutoffs.select("cutoff").distinct()
+    key = ["candidate_id", "source_id", "source_family"]
+    once = events.groupBy(*key, "observed_at").agg(F.count("*").alias("n"))
+    moved = once.select("*", F.col("observed_at").alias("_t"), F.lit(False).alias("_late")).unionByName(
+        once.select("*", (F.col("observed_at") + F.make_dt_interval(days=F.lit(rules.momentum_days))).alias("_t"), F.lit(True).alias("_late"))
+    )
+    at = with_next_mark(moved, marks, key).filter(F.col("_mark").isNotNull())
+    comes = ~F.col("_late")
+    steps = at.groupBy(*key, F.col("_mark").alias("cutoff")).agg(
+        F.sum(F.when(comes, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(comes, F.col("n")).otherwise(-F.col("n"))).alias("recent"),
+        F.min(F.when(comes, F.col("observed_at"))).alias("first_at"), F.max(F.when(comes, F.col("observed_at"))).alias("last_at"),
+    )
+    numbered = numbered_cutoffs(cutoffs)
+    w = W.partitionBy(*key).orderBy("k")
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    steps = steps.join(numbered, "cutoff").drop("cutoff")
+    runs = steps.select(
+        *key, F.sum("n").over(upto).alias("n"), F.sum("recent").over(upto).alias("recent"), F.min("first_at").over(upto).alias("first_at"),
+        F.max("last_at").over(upto).alias("last_at"), "k", F.coalesce(F.lead("k").over(w) - 1, F.col("last_k")).alias("_until"),
+    )
+    runs = runs.withColumn("k", F.explode(F.sequence("k", "_until"))).drop("_until")
+    live = F.col("recent") > 0
+    # A source counts as live without a family if another family keeps it so.
+    named = live & F.col("source_family").isNotNull()
+    same = W.partitionBy("candidate_id", "source_id", "k")
+    runs = runs.withColumn("_any", F.count(F.when(live, 1)).over(same)).withColumn("_named", F.count(F.when(named, 1)).over(same))
+    per_family = runs.groupBy("candidate_id", "k", "source_family").agg(
+        F.sum("n").alias("n"), F.sum("recent").alias("recent"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"),
+        F.count_if(named & (F.col("_named") == 1)).alias("own_sources"),
+        F.sum(F.when(named & (F.col("_named") > 1), 1 / F.col("_named")).otherwise(0.0)).alias("shared_sources"),
+        F.sum(F.when(live, 1 / F.col("_any")).otherwise(0.0)).alias("all_sources"),
+    )
+    grouped = per_family.groupBy("candidate_id", "k").agg(
+        F.collect_list(F.struct("source_family", "n", "recent", "first_at", "last_at", "own_sources")).alias("families"),
+        *[F.round(F.sum(c)).cast("bigint").alias(c) for c in ("shared_sources", "all_sources")],
+    )
+    return grouped.join(numbered, "k").drop("k", "last_k")
+
+
+def swept_features(events: DataFrame, cutoffs: DataFrame, ablations: DataFrame | None = None, rules: Rules = DEFAULT) -> DataFrame:
+    """``evidence_features`` and the evidence flags per candidate and cutoff, and per ablation if asked for.
+
+    An ablation leaves one family, and events without one, out of the combination of ``family_partials``, so its cost is a row of the result.
+    """
+    rows = family_partials(events, cutoffs, rules)
+    keys = ["candidate_id", "cutoff"]
+    if ablations is not None:
+        names = [r[0] for r in ablations.select("ablation").distinct().orderBy("ablation").collect()]
+        rows = rows.withColumn("ablation", F.explode(F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")))
+        kept = F.filter("families", lambda f: (F.col("ablation") == "") | (f["source_family"] != F.col("ablation")))
+        rows = rows.withColumn("families", kept)
+        keys.append("ablation")
+    half = dict(rules.half_life_days)
+    named = {k: v for k, v in half.items() if k != "default"}
+
+    def fresh(f: Column) -> Column:
+        age = F.greatest(age_days(f["last_at"], F.col("cutoff")), F.lit(0.0))
+        return F.lit(10.0) * F.pow(F.lit(0.5), age / lookup(named, f["source_family"], half["default"]))
+
+    def total(field: str) -> Column:
+        return F.aggregate("families", F.lit(0).cast("bigint"), lambda acc, f: acc + f[field])
+
+    def some(test) -> Column:
+        return F.coalesce(F.exists("families", lambda f: F.coalesce(test(f), F.lit(False))), F.lit(False))
+
+    fam = lambda f: f["source_family"]
+    sources = F.col("all_sources")
+    if ablations is not None:
+        sources = F.when(F.col("ablation") == "", sources).otherwise(total("own_sources") + F.col("shared_sources"))
+    active = [f for f in ACTIVE_FAMILIES if f != "infrastructure"]
+    return rows.filter(F.size("families") > 0).select(
+        *keys,
+        F.array_max(F.transform("families", lambda f: f["last_at"])).alias("latest_evidence_at"),
+        F.array_min(F.transform("families", lambda f: f["first_at"])).alias("first_evidence_at"),
+        total("n").alias("evidence_count"), total("recent").alias("recent_count"), sources.alias("recent_sources"),
+        some(lambda f: (f["recent"] > 0) & fam(f).isin("careers", "social")).alias("recent_commercial"),
+        F.size(F.filter("families", lambda f: fam(f).isNotNull() & ~fam(f).isin(*NOT_INDEPENDENT))).cast("bigint").alias("n_families"),
+        some(lambda f: fam(f) == "registry").alias("has_registry_evidence"),
+        F.array_max(F.transform("families", fresh)).alias("freshness"),
+        some(lambda f: fam(f).isin(*OFFICIAL_FAMILIES)).alias("is_official_source"),
+        F.when(some(lambda f: fam(f).isin(*active)), True).alias("has_funding_or_activity"),
+    )
+
+
 def replay(
     corpus: DataFrame, lexicon: DataFrame, cutoffs: DataFrame, ablations: DataFrame | None = None, rules: Rules = DEFAULT, unicode: str = "full"
 ) -> DataFrame:
@@ -36,12 +126,7 @@ def replay(
     depend on the visible evidence vary by cutoff.
     """
     keys = ["candidate_id", "cutoff"] + (["ablation"] if ablations is not None else [])
-    events = visible_events(fixture_events(corpus), cutoffs, ablations)
-    feats = evidence_features(events, F.col("cutoff"), rules, tuple(keys))
-    flags = events.groupBy(*keys).agg(
-        F.bool_or(F.col("source_family").isin(*OFFICIAL_FAMILIES)).alias("is_official_source"),
-        F.when(F.bool_or(F.col("source_family").isin(*[f for f in ACTIVE_FAMILIES if f != "infrastructure"])), True).alias("has_funding_or_activity"),
-    )
+    feats = swept_features(fixture_events(corpus), cutoffs, ablations, rules)
     geo = extract_geography(corpus.select(F.col("name").alias("doc_id"), F.col("sample_text").alias("text")), lexicon, unicode).withColumnRenamed("doc_id", "candidate_id")
     chained = F.col("chain_id").isNotNull()
     verified = F.coalesce("verified_genesis", F.lit(False)) & chained
@@ -52,7 +137,7 @@ def replay(
         (F.coalesce("is_token_only", F.lit(False)) & ~chained).alias("hard_blocked"), F.when(F.col("stage") == S4, F.col("mainnet_live_at")).alias("mainnet_announced_for"),
         F.lit(0.0).alias("risk"),
     )
-    df = feats.join(flags, keys).join(facts.join(geo, "candidate_id"), "candidate_id")
+    df = feats.join(facts.join(geo, "candidate_id"), "candidate_id")
     df = feature_columns(df, rules).withColumn("fit", F.col("total_score"))
     live_at = F.col("mainnet_live_at")
     df = df.withColumn("lead_time_days", (epoch(live_at) - epoch(F.col("first_evidence_at"))) / 86400.0)
@@ -83,11 +168,12 @@ def backtest_metrics(results: DataFrame, by: tuple[str, ...] = ("cutoff",)) -> D
         F.count_if(~pos).alias("_neg"),
         F.count_if(pos & explicit).alias("_lab"),
         F.count_if(pos & explicit & right).alias("_ok"),
-        F.median(F.when(pos, F.col("lead_time_days"))).alias("median_lead_time_days"),
     )
+    leads = values_at_ranks(results.filter(pos), keys, "lead_time_days", **MIDDLE)
+    median = leads.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias("median_lead_time_days"))
     top = top_n(results, keys, [F.col("radar_score").desc(), F.col("ordinal")], PRECISION_AT)
     prec = top.groupBy(*keys).agg(F.avg(F.when(pos, 1.0).otherwise(0.0)).alias("precision_at_20"))
-    return agg.join(prec, keys).select(
+    return agg.join(prec, keys).join(median, keys, "left").select(
         *keys, "total_evaluated", "detected_positives", "promoted_positives",
         _ratio(F.col("promoted_positives"), F.col("detected_positives"), 0.0).alias("positive_recall"),
         "false_promotions", _ratio(F.col("false_promotions"), F.col("_neg"), 0.0).alias("false_promotion_rate"),
@@ -98,8 +184,7 @@ def backtest_metrics(results: DataFrame, by: tuple[str, ...] = ("cutoff",)) -> D
 def cutoff_sweep(results: DataFrame, corpus: DataFrame) -> DataFrame:
     """Sweep summary (B4): recall, false promotions, median and p90 days to discovery, median lead.
 
-    The p90 is the element at ``floor(0.9·(n−1))`` of the sorted lags; it is read off the counts per
-    distinct lag, so only as many rows as there are different days are ordered in one place.
+    The p90 is the element at ``floor(0.9·(n−1))`` of the sorted lags.
     """
     first = results.filter(F.col("state").isin(*PROMOTED)).groupBy("name").agg(F.min("cutoff").alias("promoted_at"))
     df = corpus.select("name", "is_positive", "first_eligible_signal", "mainnet_live_at").join(first, "name", "left")
@@ -111,18 +196,14 @@ def cutoff_sweep(results: DataFrame, corpus: DataFrame) -> DataFrame:
     agg = df.agg(
         _ratio(F.count_if(F.col("is_positive") & hit), F.count_if("is_positive"), 0.0).alias("positive_recall"),
         _ratio(F.count_if(~F.col("is_positive") & hit), F.count_if(~F.col("is_positive")), 0.0).alias("false_promotion_rate"),
-        F.median("lag").alias("median_time_to_discovery_days"),
-        F.median("lead").alias("median_lead_days"),
-    )
-    counts = df.filter(F.col("lag").isNotNull()).groupBy("lag").agg(F.count("*").alias("c"))
-    by_lag = W.orderBy("lag")
-    ranked = counts.withColumn("_upto", F.sum("c").over(by_lag)).withColumn(
-        "_all", F.sum("c").over(by_lag.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    )
-    p90 = ranked.filter(F.col("_upto") > F.floor(F.lit(0.9) * (F.col("_all") - 1))).agg(
-        F.min("lag").cast("double").alias("p90_time_to_discovery_days")
     )
-    return agg.withColumn("_j", F.lit(1)).join(p90.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    lags = values_at_ranks(df, [], "lag", **MIDDLE, _p90=lambda n: F.floor(F.lit(0.9) * (n - 1)))
+    leads = values_at_ranks(df, [], "lead", **MIDDLE)
+    middle = (F.col("_low") + F.col("_high")) / 2
+    one = lambda d: d.withColumn("_j", F.lit(1))
+    lags = lags.select(middle.alias("median_time_to_discovery_days"), F.col("_p90").cast("double").alias("p90_time_to_discovery_days"))
+    leads = leads.select(middle.alias("median_lead_days"))
+    return one(agg).join(one(lags), "_j", "left").join(one(leads), "_j", "left").drop("_j")
 
 
 def first_seen(results: DataFrame) -> DataFrame:

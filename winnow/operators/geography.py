@@ -1,8 +1,7 @@
 """Lexicon matching over text, geography with ambiguity, intent, feature vector and labels.
 
-Matching joins the distinct words of each document to the lexicon on each term's first word. A
-one-word term is then already matched; only longer terms run a regular expression, on the
-documents that hold their first word.
+One automaton holds all terms and reads each text once, where it lies. A lexicon that is too large for that
+meets the documents as a table instead, word by word.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.automaton import found_terms
 from winnow.functions.once import spread, with_once
 from winnow.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, WORD, fold_text, with_folded
 from winnow.settings import DEFAULT, Rules
@@ -51,16 +51,37 @@ def compiled_lexicon(lexicon: DataFrame, unicode: str = "full") -> DataFrame:
     )
 
 
+#: Largest lexicon, in terms and in characters of all terms, that becomes an automaton; it is built in every task.
+MAX_TERMS, MAX_TERM_CHARS = 20_000, 400_000
+
+
 def match_lexicon(
-    docs: DataFrame, lexicon: DataFrame, unicode: str = "full", kinds: tuple[str, ...] | None = None, distinct: bool = True
+    docs: DataFrame, lexicon: DataFrame, unicode: str = "full", kinds: tuple[str, ...] | None = None, distinct: bool = True,
+    max_terms: int = MAX_TERMS,
 ) -> DataFrame:
     """(doc_id, kind, entity, term, ambiguous) for every term found in ``docs.text``.
 
-    Documents meet the lexicon as (word) rows without text, on the first word of each term. One-word terms
-    are then matched; text is joined back, by document, for the terms that need a look at it.
+    Texts pass through an Aho-Corasick automaton of all terms: neither texts nor words are shuffled or joined. A lexicon
+    of more than ``max_terms`` terms, or very long ones, is joined to the words of the texts; the result is the same.
     """
     if kinds:
         lexicon = lexicon.filter(F.col("kind").isin(*kinds))
+    columns = ["kind", "entity", "term", "ambiguous"]
+    size = lexicon.limit(max_terms + 1).agg(F.count("*"), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    if size[0] > max_terms or size[1] > MAX_TERM_CHARS:
+        out = _match_by_words(docs, lexicon, unicode)
+    else:
+        terms = [tuple(r) for r in lexicon.select(*columns).collect()]
+        found = found_terms(terms, unicode)(F.col("text"))
+        # The outer form adds no size filter, whose pushdown would read the texts twice.
+        out = spread(docs.select("doc_id", "text")).select("doc_id", F.explode_outer(found).alias("m"))
+        out = out.filter("m IS NOT NULL").select("doc_id", *[F.col(f"m.{c}") for c in columns])
+    return out.distinct() if distinct else out
+
+
+def _match_by_words(docs: DataFrame, lexicon: DataFrame, unicode: str) -> DataFrame:
+    """Documents meet the lexicon as (word) rows without text, on the first word of each term. One-word terms
+    are then matched; text is joined back, by document, for the terms that need a look at it."""
     text = with_folded(spread(docs.select("doc_id", "text")), "text", unicode).select("doc_id", "_norm", "_bare")
 
     def words(c: str) -> Column:
@@ -78,8 +99,7 @@ def match_lexicon(
     pairs = text.select("doc_id", plain.alias("_plain"), F.explode_outer(F.array_distinct(tokens)).alias("first_token")).join(compiled, "first_token")
     sure = F.col("single") & F.col("_plain")
     out = pairs.filter(sure).unionByName(pairs.filter(~sure).join(text, "doc_id").filter(found).select(*pairs.columns))
-    out = out.select("doc_id", "kind", "entity", "term", "ambiguous")
-    return out.distinct() if distinct else out
+    return out.select("doc_id", "kind", "entity", "term", "ambiguous")
 
 
 def document_matches(docs: DataFrame, lexicon: DataFrame, unicode: str = "full", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.matching import first_come
 from winnow.functions.ordered import top_n
 from winnow.functions.text import redacted_url
 from winnow.functions.timefn import age_days, observed_bucket, ts
@@ -40,9 +41,8 @@ def append_evidence(
     rejected on content does not reserve its external id.
 
     ``unique_external_ids`` states that the batch holds each external key once; one rank-1 filter
-    on the content key is then exact. Otherwise rounds accept every row that comes first in both
-    of its groups and drop what conflicts with it, which gives the sequential result. Rounds run on the narrow
-    rows that conflict with any other; their number is at most the length of the longest chain of conflicts in order of arrival.
+    on the content key is then exact. Otherwise ``first_come`` decides the narrow rows that conflict with any other, with the
+    sequential result, in rounds that grow with the logarithm of the longest chain of conflicts.
 
     A row without a source, external id, hash or time has no keys; it is not accepted (see ``keyless_items``).
     """
@@ -56,24 +56,16 @@ def append_evidence(
     # A replay of one event in one bucket is the same row twice: keep one before the rounds.
     key = [*EXTERNAL_KEY, "content_hash", "observed_bucket"]
     rows = cut_lineage(top_n(rows, key, arrival))
-    at = F.struct(*arrival)
     narrow = rows.select(*dict.fromkeys([*key, "observed_at"]))
-
-    def marked(df: DataFrame) -> DataFrame:
-        by_ext = df.groupBy(*EXTERNAL_KEY).agg(F.min(at).alias("_e"), F.count("*").alias("_n_e"))
-        by_con = df.groupBy(*CONTENT_KEY).agg(F.min(at).alias("_c"), F.count("*").alias("_n_c"))
-        return df.join(by_ext, EXTERNAL_KEY).join(by_con, CONTENT_KEY)
-
-    first_round = cut_lineage(marked(narrow))
-    accepted = first_round.filter("_n_e = 1 AND _n_c = 1").select(*narrow.columns)
-    rest = first_round.filter("_n_e > 1 OR _n_c > 1").select(*narrow.columns)
-    while not rest.isEmpty():
-        first = cut_lineage(marked(rest).filter((at == F.col("_e")) & (at == F.col("_c"))).select(*narrow.columns))
-        accepted = accepted.unionByName(first)
-        rest = cut_lineage(
-            rest.join(first.select(*EXTERNAL_KEY), EXTERNAL_KEY, "left_anti").join(first.select(*CONTENT_KEY), CONTENT_KEY, "left_anti")
-        )
-    return rows.join(accepted.select(*key), key, "left_semi").select(*rows.columns)
+    by_ext = narrow.groupBy(*EXTERNAL_KEY).agg(F.count("*").alias("_n_e"))
+    by_con = narrow.groupBy(*CONTENT_KEY).agg(F.count("*").alias("_n_c"))
+    counted = cut_lineage(narrow.join(by_ext, EXTERNAL_KEY).join(by_con, CONTENT_KEY))
+    accepted = counted.filter("_n_e = 1 AND _n_c = 1").select(*key)
+    rest = counted.filter("_n_e > 1 OR _n_c > 1").select(*narrow.columns)
+    if not rest.isEmpty():
+        won, _ = first_come(rest, EXTERNAL_KEY, CONTENT_KEY, ["observed_at", "external_id", "content_hash"])
+        accepted = accepted.unionByName(won.select(*key))
+    return rows.join(accepted, key, "left_semi").select(*rows.columns)
 
 
 def _keyless() -> Column:

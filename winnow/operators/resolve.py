@@ -8,13 +8,15 @@ can grow without bound (identifiers, URLs, evidence references) stay rows.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from winnow.functions.components import connected_components
 from winnow.functions.once import spread, with_once
-from winnow.functions.ordered import top_n, with_previous
+from winnow.functions.ordered import top_n, with_next_mark, with_previous
 from winnow.functions.text import (
     caip2, chain_id, channel_hash, default_namespace, domain, normalize_name, root_name, slug, stable_key,
 )
@@ -25,30 +27,98 @@ WEIGHT_GENESIS, WEIGHT_DOMAIN, WEIGHT_GITHUB = 1.00, 0.95, 0.85
 WEIGHT_CHAIN_ID, WEIGHT_NAME = 0.85, 0.40
 
 
-def _group_by_nodes(obs: DataFrame, nodes: str, own_key: Column, key: str) -> DataFrame:
+@dataclass(frozen=True)
+class Components:
+    """What a resolution has to know of earlier batches: ``labels`` (node, component) and ``heads`` (component, first).
+
+    A component is named by its smallest node; ``first`` is its first observation, whose own key is the key of all.
+    """
+
+    labels: DataFrame
+    heads: DataFrame
+
+
+@dataclass(frozen=True)
+class Resolution:
+    """A resolved batch, and what it changes: ``labels`` and ``heads`` are rows to upsert in ``Components``, ``merged`` names components that are no more,
+    and ``changed`` (old_key, new_key) tells which keys of earlier observations have become another one."""
+
+    resolved: DataFrame
+    labels: DataFrame
+    heads: DataFrame
+    merged: DataFrame
+    changed: DataFrame
+
+    def applied_to(self, old: Components | None) -> Components:
+        """The components after the batch, for the next one."""
+        if old is None:
+            return Components(self.labels, self.heads)
+        labels = old.labels.join(self.labels.select("node"), "node", "left_anti").unionByName(self.labels)
+        gone = self.merged.unionByName(self.heads.select("component")).distinct()
+        return Components(labels, old.heads.join(gone, "component", "left_anti").unionByName(self.heads))
+
+
+def _group_by_nodes(obs: DataFrame, nodes: str, own_key: Column, key: str, old: Components | None = None) -> Resolution:
     """Add ``key``: the own key of the first observation in each observation's component.
 
-    Only distinct identifiers enter the graph. Observations meet the result once, on one of their
-    identifiers.
+    Distinct sets of identifiers enter the graph, each node already replaced by its component in ``old``, so rounds run on
+    what the batch links and not on what is stored. An observation without any identifier is a component of its own.
     """
-    obs = with_once(spread(obs), _anchor=F.array_min(nodes), _own=own_key)
-    edges = obs.select(F.col("_anchor").alias("src"), F.explode(nodes).alias("dst"))
-    comp = connected_components(edges)
-    first = obs.groupBy("_anchor").agg(F.min(F.struct("observed_at", "evidence_id", "_own")).alias("f"))
-    named = first.join(comp, F.col("_anchor") == F.col("node"), "left").select(
-        "_anchor", "f", F.coalesce("component", "_anchor").alias("component")
-    )
+    row = F.concat(F.lit("row:"), F.col("evidence_id").cast("string"))
+    ids = F.array_compact(F.col(nodes))
+    ids = F.array_sort(F.array_distinct(F.when(F.size(ids) > 0, ids).otherwise(F.array(F.coalesce(row, F.lit("row:"))))))
+    obs = with_once(spread(obs), _ids=ids, _own=F.coalesce(own_key, stable_key(row)))
+    sets = obs.groupBy("_ids").agg(F.min(F.struct("observed_at", "evidence_id", F.col("_own").alias("own"))).alias("first"))
+    sets = cut_lineage(sets.withColumn("anchor", F.get("_ids", F.lit(0))))
+    members = sets.select("anchor", F.explode("_ids").alias("node"))
+    known = members.select("node").distinct()
+    if old is None:
+        known = known.withColumn("label", F.col("node"))
+        links = members.select(F.col("anchor").alias("src"), F.col("node").alias("dst"))
+    else:
+        known = cut_lineage(known.join(old.labels, "node", "left").select("node", "component", F.coalesce("component", "node").alias("label")))
+        a, b = known.select(F.col("node").alias("anchor"), F.col("label").alias("src")), known.select("node", F.col("label").alias("dst"))
+        links = members.filter("anchor <> node").join(a, "anchor").join(b, "node").select("src", "dst")
+    joined = connected_components(links).select(F.col("node").alias("label"), "component")
+    if old is None:
+        named = known.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    else:
+        named = known.withColumnRenamed("component", "was").join(joined, "label", "left").select("node", "was", F.coalesce("component", "label").alias("component"))
     named = cut_lineage(named)
-    heads = named.groupBy("component").agg(F.min("f")["_own"].alias(key))
-    return obs.join(named.join(heads, "component").select("_anchor", key), "_anchor").drop("_anchor", "_own")
+    firsts = sets.join(named.select(F.col("node").alias("anchor"), "component"), "anchor").select("component", "first")
+    if old is None:
+        heads = cut_lineage(firsts.groupBy("component").agg(F.min("first").alias("first")))
+        labels, nothing = named, heads.limit(0)
+        merged, changed = nothing.select("component"), nothing.select(F.col("first.own").alias("old_key"), F.col("first.own").alias("new_key"))
+    else:
+        # Stored components that the batch touches, under their old and their new name.
+        moved = cut_lineage(named.filter("was IS NOT NULL").select("was", "component").distinct())
+        before = old.heads.join(moved.select(F.col("was").alias("component"), F.col("component").alias("new")), "component")
+        before = cut_lineage(before.select("component", "new", "first"))
+        both = firsts.unionByName(before.select(F.col("new").alias("component"), "first"))
+        heads = cut_lineage(both.groupBy("component").agg(F.min("first").alias("first")))
+        other = moved.filter("was <> component")
+        relabelled = old.labels.join(other.select(F.col("was").alias("component"), F.col("component").alias("new")), "component").select("node", F.col("new").alias("component"))
+        labels = cut_lineage(named.filter("was IS NULL").select("node", "component").unionByName(relabelled))
+        merged = other.select(F.col("was").alias("component"))
+        now = heads.select(F.col("component").alias("new"), F.col("first.own").alias("new_key"))
+        changed = before.select("new", F.col("first.own").alias("old_key")).join(now, "new").filter("old_key <> new_key").select("old_key", "new_key").distinct()
+    keys = named.join(heads, "component").select(F.col("node").alias("_anchor"), F.col("first.own").alias(key))
+    resolved = obs.withColumn("_anchor", F.get("_ids", F.lit(0))).join(keys, "_anchor").drop("_anchor", "_own", "_ids")
+    return Resolution(resolved, labels, heads, merged, changed)
 
 
 def resolve_organizations(obs: DataFrame, shared_domains: tuple[str, ...] = (), unicode: str = "full") -> DataFrame:
     """Observations with ``org_id``.
 
     A shared official domain or GitHub organisation links; a name is the key only where neither was
-    observed. ``shared_domains`` lists hosting domains that identify nobody.
+    observed, and the evidence id where there is no name either. ``shared_domains`` lists hosting domains that identify nobody.
     """
+    return organization_batch(obs, None, shared_domains, unicode).resolved
+
+
+def organization_batch(obs: DataFrame, old: Components | None, shared_domains: tuple[str, ...] = (), unicode: str = "full") -> Resolution:
+    """``resolve_organizations`` of a batch on top of the stored components of all batches before."""
     none = F.array().cast("array<string>")
     doms = F.array_compact(F.transform(F.coalesce("organization_domains", none), domain))
     doms = F.array_sort(F.array_distinct(F.filter(doms, lambda d: ~d.isin(*shared_domains)) if shared_domains else doms))
@@ -66,7 +136,8 @@ def resolve_organizations(obs: DataFrame, shared_domains: tuple[str, ...] = (),
         .when(F.size("_g") > 0, stable_key(F.lit("org"), F.lit("github"), F.get("_g", F.lit(0))))
         .otherwise(stable_key(F.lit("org"), F.lit("name"), F.col("_name")))
     )
-    return _group_by_nodes(df, "_nodes", key, "org_id").drop("_nodes", "_d", "_g", "_name")
+    out = _group_by_nodes(df, "_nodes", key, "org_id", old)
+    return replace(out, resolved=out.resolved.drop("_nodes", "_d", "_g", "_name"))
 
 
 def merge_org_attrs(resolved: DataFrame) -> DataFrame:
@@ -114,7 +185,13 @@ def with_network_identity(obs: DataFrame, unicode: str = "full") -> DataFrame:
 
 def resolve_candidates(obs: DataFrame) -> DataFrame:
     """Observations with ``candidate_id`` (J3): verified genesis under one CAIP-2 links across
-    organisations, a CAIP-2 only within one, and otherwise organisation and slug decide."""
+    organisations, a CAIP-2 only within one, and otherwise organisation and slug decide. An observation
+    that has none of these is a candidate of its own."""
+    return candidate_batch(obs, None).resolved
+
+
+def candidate_batch(obs: DataFrame, old: Components | None) -> Resolution:
+    """``resolve_candidates`` of a batch on top of the stored components of all batches before."""
     org = F.col("org_id")
     nodes = F.array_compact(
         F.array(
@@ -123,8 +200,8 @@ def resolve_candidates(obs: DataFrame) -> DataFrame:
             F.concat(F.lit("g:"), "caip2", F.lit(":"), F.nullif(F.col("genesis_fingerprint"), F.lit(""))),
         )
     )
-    df = obs.withColumn("_nodes", nodes)
-    return _group_by_nodes(df, "_nodes", stable_key(org, F.col("slug")), "candidate_id").drop("_nodes")
+    out = _group_by_nodes(obs.withColumn("_nodes", nodes), "_nodes", stable_key(org, F.col("slug")), "candidate_id", old)
+    return replace(out, resolved=out.resolved.drop("_nodes"))
 
 
 def caip2_collisions(claims: DataFrame) -> DataFrame:
@@ -323,17 +400,26 @@ def upsert_contacts(new: DataFrame, existing: DataFrame | None = None, value: st
     return one.join(e, (F.col("channel_hash") == F.col("_h")) & F.col("org_id").eqNullSafe(F.col("_o")), "left_anti")
 
 
+def numbered_cutoffs(cutoffs: DataFrame) -> DataFrame:
+    """(cutoff, k, last_k): the distinct cutoffs in order, from 1 on. They are few beside the results at each of them."""
+    w = W.partitionBy(F.lit(0))
+    marks = cutoffs.select("cutoff").filter(F.col("cutoff").isNotNull()).distinct()
+    return marks.select("cutoff", F.row_number().over(w.orderBy("cutoff")).alias("k"), F.count("*").over(w).alias("last_k"))
+
+
 def visible_events(events: DataFrame, cutoffs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Events visible at each cutoff.
 
-    Cutoffs are spread to the days from the first event on, so events meet them in an equi-join by day, however
-    many there are. ``excluded`` holds (ablation, source_family) rows; ablation ``""`` is the
-    baseline. Its distinct names travel with the plan as one array, all of them.
+    The first cutoff that sees a moment is found once for each distinct moment, by a sweep; events meet it in an equi-join and
+    are repeated for the cutoffs from there on, which is what the result holds. ``excluded`` holds (ablation, source_family) rows;
+    ablation ``""`` is the baseline. Its distinct names travel with the plan as one array, all of them.
     """
-    first = events.agg(F.min(F.to_date("observed_at"))).first()[0]
-    day = F.to_date("cutoff")
-    days = cutoffs.select("cutoff").distinct().filter(day >= F.lit(first)).select("cutoff", F.explode(F.sequence(F.lit(first).cast("date"), day)).alias("_day"))
-    seen = events.withColumn("_day", F.to_date("observed_at")).join(days, "_day").filter(F.col("cutoff") >= F.col("observed_at")).drop("_day")
+    numbered = numbered_cutoffs(cutoffs)
+    moments = events.select("observed_at").filter(F.col("observed_at").isNotNull()).distinct()
+    moments = moments.select("observed_at", F.col("observed_at").alias("_t"), F.lit(False).alias("_late"))
+    first = with_next_mark(moments, numbered.select("cutoff"), []).select("observed_at", F.col("_mark").alias("cutoff"))
+    first = first.join(numbered, "cutoff").select("observed_at", F.explode(F.sequence("k", "last_k")).alias("k"))
+    seen = events.join(first, "observed_at").join(numbered.select("cutoff", "k"), "k").select(*events.columns, "cutoff")
     if excluded is None:
         return seen
     names = json.dumps([r[0] for r in excluded.select("ablation").distinct().orderBy("ablation").collect()])

@@ -52,7 +52,23 @@ def _(spark, sf):
     return out.select("source_id", "external_id", "observed_bucket", t("observed_at").alias("observed_at"), "url", "reliability")
 
 
-@query("ledger_append_greedy", "L1")
+@query(
+    "ledger_append_greedy",
+    "L1",
+    cte("evidence").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + """, raw AS (SELECT DISTINCT source_id, CAST(candidate_id AS STRING) || '-' || CAST(dayofmonth(observed_at) AS STRING) AS external_id, content_hash,
+    observed_bucket, observed_at FROM evidence),
+base AS (SELECT *, row_number() OVER (ORDER BY observed_at, external_id, content_hash) AS place FROM (SELECT source_id, external_id, content_hash,
+    observed_bucket, min(observed_at) AS observed_at FROM raw GROUP BY ALL)),
+open_rows AS (SELECT place, source_id, external_id, content_hash, observed_bucket, false AS taken FROM base
+UNION ALL
+SELECT place, source_id, external_id, content_hash, observed_bucket, wins FROM (
+  SELECT *, bool_or(wins) OVER (PARTITION BY source_id, external_id) AS ext_taken, bool_or(wins) OVER (PARTITION BY source_id, content_hash, observed_bucket) AS content_taken FROM (
+    SELECT *, place = min(place) OVER (PARTITION BY source_id, external_id)
+      AND place = min(place) OVER (PARTITION BY source_id, content_hash, observed_bucket) AS wins FROM open_rows WHERE NOT taken))
+WHERE wins OR NOT (ext_taken OR content_taken))
+SELECT source_id, external_id, content_hash, observed_bucket FROM open_rows WHERE taken""",
+)
 def _(spark, sf):
     """Replayed batch: external ids repeat with changing content, so the rounds are needed."""
     raw = role(spark, sf, "evidence").withColumn(
