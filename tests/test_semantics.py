@@ -47,7 +47,7 @@ def test_ambiguous_names_need_context(spark):
 
 
 def test_label_ladder(spark):
-    a1 = "The foundation roadmap sets aside developer grants and a validator cohort for an expansion to Kenya and Nigeria."
+    a1 = "This spring builders in Kenya and Nigeria may apply for a developer grant, and a hackathon follows."
     assert features(spark, a1, is_official_source=True).label == G.A1
     assert features(spark, "Two hackathons, in Accra and in Lagos, will test payment with MoMo.").label in (G.A1, G.A2)
     a3 = "A design for cross-border remittance and micropayments in any stablecoin."
@@ -87,7 +87,7 @@ def test_one_folding_for_any_lexicon_size(spark):
 
 
 def test_country_scores(spark):
-    f = G.africa_features(texts(spark, "Launching M-Pesa integration in Nairobi, Kenya, and recruiting a country manager for Lagos, Nigeria.", is_official_source=True), default_lexicon(spark))
+    f = G.africa_features(texts(spark, "Shops in Nairobi, Kenya can now take M-Pesa; a country manager will work out of Lagos in Nigeria.", is_official_source=True), default_lexicon(spark))
     got = {r.country: r for r in G.country_scores(f, countries_dim(spark)).collect()}
     assert got["Kenya"].iso2 == "KE" and got["Nigeria"].is_priority_market and got["Kenya"].matched_hubs == ["Nairobi"] and got["Kenya"].strength == 1.0
 

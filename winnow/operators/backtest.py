@@ -11,6 +11,7 @@ from winnow.functions.timefn import age_days, epoch
 from winnow.operators.geography import ACTIVE_FAMILIES, OFFICIAL_FAMILIES, extract_geography, feature_columns
 from winnow.operators.resolve import numbered_cutoffs
 from winnow.operators.score import NOT_INDEPENDENT, S4, lookup, score_columns
+from winnow.session import cut_lineage
 from winnow.settings import DEFAULT, Rules
 
 PROMOTED = ("HOT", "QUALIFIED")
@@ -156,6 +157,8 @@ def _ratio(n: Column, d: Column, default: float) -> Column:
 def backtest_metrics(results: DataFrame, by: tuple[str, ...] = ("cutoff",)) -> DataFrame:
     """Recall, false promotions, precision at 20, label precision and median lead per run."""
     keys = list(by)
+    # Three aggregates read the results, which are costly to make.
+    results = cut_lineage(results.select(*keys, "state", "is_positive", "label", "expected_label", "lead_time_days", "radar_score", "ordinal"))
     promoted = F.col("state").isin(*PROMOTED)
     pos = F.col("is_positive")
     explicit = F.col("label").startswith("A1") | F.col("label").startswith("A2")

@@ -48,6 +48,7 @@ def evidence_cards(candidates: DataFrame, evidence: DataFrame, rounds: DataFrame
         ).alias("header"),
         F.struct(
             n.alias("recent_signals_count"), F.get("_ev", F.lit(0))["observed_at"].alias("latest_event_time"),
+            # Fixed value: wording of the highlight.
             F.concat(F.lit("New public signal detected from "), F.coalesce(F.get("_ev", F.lit(0))["source_id"], F.lit("registry"))).alias("highlight"),
         ).alias("why_now"),
         F.struct("caip2", F.col("human_chain_id").alias("chain_id"), F.coalesce("genesis_fingerprint", F.lit("pending_probe")).alias("genesis_fingerprint")).alias("identity"),

@@ -65,10 +65,13 @@ def _group_by_nodes(obs: DataFrame, nodes: str, own_key: Column, key: str, old:
     what the batch links and not on what is stored. An observation without any identifier is a component of its own.
     """
     row = F.concat(F.lit("row:"), F.col("evidence_id").cast("string"))
-    ids = F.array_compact(F.col(nodes))
-    ids = F.array_sort(F.array_distinct(F.when(F.size(ids) > 0, ids).otherwise(F.array(F.coalesce(row, F.lit("row:"))))))
-    obs = with_once(spread(obs), _ids=ids, _own=F.coalesce(own_key, stable_key(row)))
-    sets = obs.groupBy("_ids").agg(F.min(F.struct("observed_at", "evidence_id", F.col("_own").alias("own"))).alias("first"))
+    # In steps, each evaluated once: what refers to an array twice would compute it twice.
+    obs = with_once(obs, _ids=F.array_sort(F.array_distinct(F.array_compact(F.col(nodes)))))
+    obs = with_once(obs, _ids_=F.when(F.size("_ids") > 0, F.col("_ids")).otherwise(F.array(F.coalesce(row, F.lit("row:"))))).drop("_ids").withColumnRenamed("_ids_", "_ids")
+    # Identifiers come from names and URLs by regular expressions: written once, they are not worked out again for the last join.
+    obs = cut_lineage(obs)
+    own = F.coalesce(own_key, stable_key(row))
+    sets = obs.groupBy("_ids").agg(F.min(F.struct("observed_at", "evidence_id", own.alias("own"))).alias("first"))
     sets = cut_lineage(sets.withColumn("anchor", F.get("_ids", F.lit(0))))
     members = sets.select("anchor", F.explode("_ids").alias("node"))
     known = members.select("node").distinct()
@@ -104,7 +107,7 @@ def _group_by_nodes(obs: DataFrame, nodes: str, own_key: Column, key: str, old:
         now = heads.select(F.col("component").alias("new"), F.col("first.own").alias("new_key"))
         changed = before.select("new", F.col("first.own").alias("old_key")).join(now, "new").filter("old_key <> new_key").select("old_key", "new_key").distinct()
     keys = named.join(heads, "component").select(F.col("node").alias("_anchor"), F.col("first.own").alias(key))
-    resolved = obs.withColumn("_anchor", F.get("_ids", F.lit(0))).join(keys, "_anchor").drop("_anchor", "_own", "_ids")
+    resolved = obs.withColumn("_anchor", F.get("_ids", F.lit(0))).join(keys, "_anchor").drop("_anchor", "_ids")
     return Resolution(resolved, labels, heads, merged, changed)
 
 
@@ -125,12 +128,12 @@ def organization_batch(obs: DataFrame, old: Components | None, shared_domains: t
     gits = F.transform(F.coalesce("github_orgs", none), lambda g: F.trim(g))
     gits = F.array_sort(F.array_distinct(F.filter(gits, lambda g: g != "")))
     display = F.coalesce(F.nullif(F.col("organization_name"), F.lit("")), F.col("candidate_name"))
-    df = obs.withColumn("_d", doms).withColumn("_g", gits).withColumn("_name", slug(display, unicode))
+    df = with_once(spread(obs), _d=doms, _g=gits, _name=slug(display, unicode))
     named = F.array(F.concat(F.lit("name:"), "_name"))
     ids = F.concat(
         F.transform("_d", lambda x: F.concat(F.lit("domain:"), x)), F.transform("_g", lambda x: F.concat(F.lit("github:"), x))
     )
-    df = df.withColumn("_nodes", F.when(F.size(ids) > 0, ids).otherwise(named))
+    df = with_once(df, _nodes=F.when(F.size("_d") + F.size("_g") > 0, ids).otherwise(named))
     key = (
         F.when(F.size("_d") > 0, stable_key(F.lit("org"), F.lit("domain"), F.get("_d", F.lit(0))))
         .when(F.size("_g") > 0, stable_key(F.lit("org"), F.lit("github"), F.get("_g", F.lit(0))))
@@ -200,7 +203,7 @@ def candidate_batch(obs: DataFrame, old: Components | None) -> Resolution:
             F.concat(F.lit("g:"), "caip2", F.lit(":"), F.nullif(F.col("genesis_fingerprint"), F.lit(""))),
         )
     )
-    out = _group_by_nodes(obs.withColumn("_nodes", nodes), "_nodes", stable_key(org, F.col("slug")), "candidate_id", old)
+    out = _group_by_nodes(with_once(spread(obs), _nodes=nodes), "_nodes", stable_key(org, F.col("slug")), "candidate_id", old)
     return replace(out, resolved=out.resolved.drop("_nodes"))
 
 

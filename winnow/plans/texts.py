@@ -19,9 +19,9 @@ from winnow.settings import DEFAULT
 from winnow.sources.lexicon import PAN_TERMS, countries_dim, default_lexicon, default_rows
 
 _TAILS = (
-    "We are hiring a country manager for Nigeria and  Kenya.",
-    "Rumour has it that Chad joined the team.",
-    "Expanding our West Africa operations across Mali, Niger and Senegal.",
+    "Open role: country manager who covers Nigeria and  Kenya from one desk.",
+    "Yesterday Chad fixed the build and went home.",
+    "Three new desks in West Africa, one each in Senegal, Niger and Mali.",
     "Mobile   money and M-Pesa payments for merchants.",
     "Lancement au Gabon et en Cote d''Ivoire: partenariat et ambassadeur.",
     "The hackathon in Lagos pays in NGN, a strategic partner of ECOWAS.",
@@ -208,7 +208,7 @@ def _(spark, sf):
 _N = "CAST(o_orderkey % 90 + 1 AS STRING)"
 _NEWS = f"""'Order ' || CAST(o_orderkey AS STRING) || ' shipped for a $50 fee. ' || CASE o_orderkey % 9
  WHEN 0 THEN 'The team raised $' || {_N} || ' million in a seed round led by Fund ' || {_N} || ' Capital, with participation from Alpha Labs, Beta Ventures and Gamma.'
- WHEN 1 THEN 'Company ' || {_N} || ' secured €' || {_N} || 'm Series A led by Hack VC with others!'
+ WHEN 1 THEN 'Company ' || {_N} || ' secured €' || {_N} || 'm Series A led by Birch Street with others!'
  WHEN 2 THEN 'They announced a funding round of USD ' || {_N} || ',500,000.' || chr(10) || 'It raised $12 only.'
  WHEN 3 THEN 'A pre-seed raise is planned. The project closes its strategic round, backed by Delta.'
  WHEN 4 THEN 'It raises ' || {_N} || ' million soon. Nothing else was said.'
