@@ -233,6 +233,21 @@ def caip2_collisions(claims: DataFrame) -> DataFrame:
     )
 
 
+def collision_signals(claims: DataFrame) -> DataFrame:
+    """Risk signals (candidate_id, signal_type, at, evidence_id) of claimants that a later organisation contradicts.
+
+    ``claims`` holds (caip2, organization_id, candidate_id, observed_at, evidence_id). Every claimant but the last one of an id gets one,
+    with the time and evidence of that last claim.
+    """
+    per_org = claims.filter(F.col("caip2").isNotNull()).groupBy("caip2", "organization_id").agg(
+        F.min(F.struct("observed_at", "candidate_id", "evidence_id")).alias("c")
+    )
+    last = per_org.groupBy("caip2").agg(F.max(F.struct(F.col("c.observed_at").alias("at"), F.col("organization_id").alias("org"), F.col("c.evidence_id").alias("by"))).alias("l"))
+    return per_org.join(last, "caip2").filter(F.col("organization_id") != F.col("l.org")).select(
+        F.col("c.candidate_id").alias("candidate_id"), F.lit("chain_id_collision").alias("signal_type"), F.col("l.at").alias("at"), F.col("l.by").alias("evidence_id")
+    )
+
+
 def weak_name_matches(candidates: DataFrame, unicode: str = "full") -> DataFrame:
     """Review tasks for a name another organisation already has as an alias.
 
