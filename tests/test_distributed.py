@@ -161,7 +161,9 @@ def test_next_mark(spark):
     df = spark.createDataFrame(rows, "id int, _t timestamp, _late boolean")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r.id: r["_mark"] for r in with_next_mark(df, spark.createDataFrame([(m,) for m in marks], "m timestamp"), ["id"]).collect()}
+        table = spark.createDataFrame([(m,) for m in marks], "m timestamp")
+        got = {r.id: r["_mark"] for r in with_next_mark(df, table, ["id"], few=3).collect()}
+        assert got == {r.id: r["_mark"] for r in with_next_mark(df, table, ["id"]).collect()}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(got) == 2000

@@ -80,18 +80,24 @@ def previous_by_range(df: DataFrame, keys: list[str], order: list[str], values:
     return joined.select(*[F.col(f"i.{c}") for c in df.columns], *[prev[v].alias(prefix + v) for v in values])
 
 
-def with_next_mark(rows: DataFrame, marks: DataFrame, ties: list[str]) -> DataFrame:
+def with_next_mark(rows: DataFrame, marks: DataFrame, ties: list[str], few: int = 256) -> DataFrame:
     """Add ``_mark``: the first of ``marks`` (one column) that is not before ``_t``, or, where ``_late`` is true, the first one after it.
 
-    Rows and marks are swept together in ranges of time; a range hands its first mark to the ranges before it. ``ties`` are columns
-    that part the rows of one moment. Neither is multiplied by the other; null where no mark follows.
+    Up to ``few`` marks travel with the plan as a sorted array. More of them are swept together with the rows in ranges of time;
+    a range hands its first mark to the ranges before it. ``ties`` are columns that part the rows of one moment. Neither is
+    multiplied by the other; null where no mark follows.
     """
     from winnow.session import cut_lineage
 
     mark = marks.columns[0]
+    listed = [r[0] for r in marks.filter(F.col(mark).isNotNull()).distinct().limit(few + 1).collect()]
+    if len(listed) <= few:
+        times = F.array(*[F.lit(x) for x in sorted(listed)]).cast("array<timestamp>")
+        after = F.filter(times, lambda m: F.when(F.col("_late"), m > F.col("_t")).otherwise(m >= F.col("_t")))
+        return rows.withColumn("_mark", F.get(after, F.lit(0)))
     place = F.when(F.col("_late"), 2).otherwise(0)
     both = rows.withColumn("_place", place).unionByName(
-        marks.distinct().select(F.col(mark).alias("_t"), F.lit(1).alias("_place"), F.col(mark).alias("_mark")), allowMissingColumns=True
+        marks.filter(F.col(mark).isNotNull()).distinct().select(F.col(mark).alias("_t"), F.lit(1).alias("_place"), F.col(mark).alias("_mark")), allowMissingColumns=True
     )
     dealt = cut_lineage(both.repartitionByRange("_t", "_place", *ties).withColumn("_range", F.spark_partition_id()))
     # From the end on: a running value, which costs one step a row.

@@ -34,7 +34,8 @@ def family_partials(events: DataFrame, cutoffs: DataFrame, rules: Rules = DEFAUL
     Each event changes the running values of its source at two cutoffs: the first that sees it, and the first to which it is no longer
     recent. Values are then carried on from cutoff to cutoff. ``families`` has one entry per family of the candidate.
     """
-    marks = cutoffs.select("cutoff").distinct()
+    numbered = numbered_cutoffs(cutoffs)
+    marks = numbered.select("cutoff")
     key = ["candidate_id", "source_id", "source_family"]
     once = events.groupBy(*key, "observed_at").agg(F.count("*").alias("n"))
     moved = once.select("*", F.col("observed_at").alias("_t"), F.lit(False).alias("_late")).unionByName(
@@ -46,7 +47,6 @@ def family_partials(events: DataFrame, cutoffs: DataFrame, rules: Rules = DEFAUL
         F.sum(F.when(comes, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(comes, F.col("n")).otherwise(-F.col("n"))).alias("recent"),
         F.min(F.when(comes, F.col("observed_at"))).alias("first_at"), F.max(F.when(comes, F.col("observed_at"))).alias("last_at"),
     )
-    numbered = numbered_cutoffs(cutoffs)
     w = W.partitionBy(*key).orderBy("k")
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     steps = steps.join(numbered, "cutoff").drop("cutoff")

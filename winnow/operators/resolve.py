@@ -418,11 +418,16 @@ def upsert_contacts(new: DataFrame, existing: DataFrame | None = None, value: st
     return one.join(e, (F.col("channel_hash") == F.col("_h")) & F.col("org_id").eqNullSafe(F.col("_o")), "left_anti")
 
 
-def numbered_cutoffs(cutoffs: DataFrame) -> DataFrame:
-    """(cutoff, k, last_k): the distinct cutoffs in order, from 1 on. They are few beside the results at each of them."""
+def numbered_cutoffs(cutoffs: DataFrame, few: int = 256) -> DataFrame:
+    """(cutoff, k, last_k): the distinct cutoffs in order, from 1 on. Up to ``few`` of them become a local table; they are
+    few beside the results at each of them in any case."""
+    marks = cutoffs.select(F.col("cutoff").cast("timestamp").alias("cutoff")).filter(F.col("cutoff").isNotNull()).distinct()
+    listed = sorted(r[0] for r in marks.limit(few + 1).collect())
+    if len(listed) <= few:
+        rows = [(c, k, len(listed)) for k, c in enumerate(listed, 1)]
+        return cutoffs.sparkSession.createDataFrame(rows, "cutoff timestamp, k int, last_k int")
     w = W.partitionBy(F.lit(0))
-    marks = cutoffs.select("cutoff").filter(F.col("cutoff").isNotNull()).distinct()
-    return marks.select("cutoff", F.row_number().over(w.orderBy("cutoff")).alias("k"), F.count("*").over(w).alias("last_k"))
+    return marks.select("cutoff", F.row_number().over(w.orderBy("cutoff")).alias("k"), F.count("*").over(w).cast("int").alias("last_k"))
 
 
 def visible_events(events: DataFrame, cutoffs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
