@@ -410,10 +410,10 @@ def orgs(spark, sf):
 @query(
     "organisation_lookup",
     "J13",
-    "SELECT n_nationkey AS org_id, n_name AS display_name FROM nation WHERE n_name = 'KENYA'",
+    "SELECT n_nationkey AS org_id, n_name AS display_name FROM nation WHERE n_name = 'NATION_7'",
 )
 def _(spark, sf):
-    return Q.find_orgs(orgs(spark, sf), domain="nothing.example", name=" kenya LTD ").select("org_id", "display_name")
+    return Q.find_orgs(orgs(spark, sf), domain="nothing.example", name=" nation_7 LTD ").select("org_id", "display_name")
 
 
 @query(
