@@ -73,3 +73,15 @@ def test_odd_tables(spark):
     d = docs(spark, ["a@b.cd"] * 2).selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "1 AS spans", "2 AS n_ip")
     assert [(r.n_email, r.spans) for r in P.find_personal_data(d).collect()] == [(1, "email:0:6")] * 2
     assert P.find_personal_data(docs(spark, [])).count() == 0 and P.find_personal_data(docs(spark, [None])).first().spans == ""
+
+
+def test_many_proposals_in_one_text():
+    """Loose spans are held against those taken so far, however many there are."""
+    import time
+
+    text = " ".join(f"call 415-555-{i % 10000:04d} or x{i}@mail{i}.example now" for i in range(20000))
+    start = time.time()
+    found = P.proposals(text, P.base_spans(text))
+    assert len(found) >= 40000 and time.time() - start < 20
+    spans = sorted((a, b) for _, a, b in found)
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))

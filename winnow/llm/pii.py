@@ -12,6 +12,7 @@ Votes and features are a few bits each. The corpus is summarised by the counts o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,10 +98,10 @@ def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     taken = sorted((a, b) for _, a, b in base)
     out = list(base)
     for kind, a, b in sorted(more, key=lambda x: x[1]):
-        i = int(np.searchsorted([t[0] for t in taken], b)) if taken else 0
+        i = bisect_left(taken, (b,))
         if not any(x < b and y > a for x, y in taken[max(0, i - 2) : i]):
             out.append((kind, a, b))
-            taken = sorted([*taken, (a, b)])
+            insort(taken, (a, b))
     return out
 
 
