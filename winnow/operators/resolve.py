@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from winnow.functions.components import connected_components
 from winnow.functions.once import spread, with_once
-from winnow.functions.ordered import top_n, with_next_mark, with_previous
+from winnow.functions.ordered import previous_by_range, top_n, with_next_mark
 from winnow.functions.text import (
     caip2, chain_id, channel_hash, default_namespace, domain, normalize_name, root_name, slug, stable_key,
 )
@@ -348,7 +348,7 @@ def incarnations(obs: DataFrame) -> DataFrame:
     )
     g = g.select("network_id", "genesis_fingerprint", F.col("f.observed_at").alias("first_seen_at"), F.col("f.evidence_id").alias("evidence_id"))
     g = g.withColumn("incarnation_id", stable_key(F.col("network_id"), F.col("genesis_fingerprint")))
-    after = with_previous(g, ["network_id"], "first_seen_at", ["evidence_id"], ["incarnation_id"], slice_seconds=365 * 86400)
+    after = previous_by_range(g, ["network_id"], ["first_seen_at", "evidence_id"], ["incarnation_id"])
     by = after.filter(F.col("prev_incarnation_id").isNotNull()).select(
         F.col("prev_incarnation_id").alias("incarnation_id"), F.col("incarnation_id").alias("superseded_by_id")
     )
