@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -49,6 +51,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries inside leave no shuffle files behind.
+
+    Spark keeps the shuffle files of a query until the driver happens to collect its plan. A query whose result is a table is not
+    read through its shuffles again, so they can go when it ends; while it runs they serve retries as always.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut_lineage(df: DataFrame, *observed: Column) -> DataFrame:
     """``df`` as a table in the shared folder, so that iterations stay short plans and a lost executor costs a
     re-read instead of a recomputation of all rounds. Unlike a checkpoint it is computed once and read by column.
@@ -59,6 +77,7 @@ def cut_lineage(df: DataFrame, *observed: Column) -> DataFrame:
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     watch = Observation() if observed else None
     out = df.observe(watch, *observed) if watch else df
-    out.write.option("compression", "lz4").parquet(path)
+    with short_shuffles(df.sparkSession):
+        out.write.option("compression", "lz4").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     return (back, watch.get) if watch else back
