@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.components import connected_components
-from winnow.llm.store import saved, shared_folder
+from winnow.llm.store import saved, shared_folder, written
 
 #: Representatives of a bucket in each round: so many times more than in the round before.
 MORE = 8
@@ -67,7 +67,7 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Compare], reac
         if dist.isEmpty():
             break
         # One folder for all rounds keeps later plans small.
-        members.join(dist, ["rep", "node"]).write.option("compression", "zstd").parquet(f"{path}/round={number}")
+        written(members.join(dist, ["rep", "node"]), f"{path}/round={number}")
         seen = spark.read.parquet(f"{path}/round={number}")
         number += 1
         # A member that is linked to a representative, or is one, has met all it has to.

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from winnow.session import short_shuffles
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path under ``spark.checkpoint.dir``.
@@ -29,6 +31,11 @@ def saved(df: DataFrame) -> DataFrame:
     Later steps read the file, so a lost executor costs a read instead of all work before it, and
     each reader takes the columns it needs.
     """
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    return written(df, shared_folder(df.sparkSession))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read again; its shuffle files go with the query."""
+    with short_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
