@@ -49,10 +49,15 @@ def test_model_probabilities(spark):
     assert sum(out[i].score for i in held) > sum(out[i].base_score for i in held)
 
 
-def test_small_filter_keeps_the_frequent(spark):
-    texts = [prose(200, i) for i in range(30)]
-    full, small = (sum(r.score for r in M.scores(docs(spark, texts), M.Settings(max_filter_bits=1 << n)).collect()) for n in (22, 15))
-    assert small < full < 0 and small > 3 * full
+def test_a_large_filter_is_probed_by_ranges(spark, monkeypatch):
+    """A filter that is not broadcast gives the same scores: all n-grams stay, whatever the size. Several parts and groups."""
+    monkeypatch.setattr(M, "HELD", 2)
+    monkeypatch.setattr(M, "ASKING", 300)
+    texts = [None, "", "Only HERE once", "x " * 3000] + [prose(200, i) for i in range(30)]
+    d = docs(spark, texts).unionByName(docs(spark, texts[-2:]))
+    rows = [sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in M.scores(d, M.Settings(max_filter_bits=n)).collect()) for n in (1 << 29, 0)]
+    assert len(rows[0]) == len(texts) + 2 and rows[0] == rows[1]
+    assert M.scores(docs(spark, []), M.Settings(max_filter_bits=0)).count() == 0
 
 
 def test_odd_tables(spark):

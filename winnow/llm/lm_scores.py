@@ -1,8 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 The filter holds quantised counts of words and word pairs: a count of level ``q`` is stored as the memberships (n-gram, 1) …
-(n-gram, q), and read by probing levels until one is missing. It is broadcast; its size is a parameter. The model is a
-bigram model with Dirichlet smoothing,
+(n-gram, q), and read by probing levels until one is missing. Its size follows from the counted levels, so it holds all n-grams of any
+corpus. Up to a size that is a parameter it is broadcast; a larger one stays a table, to whose ranges the documents' n-grams are
+sent. Both give the same scores. The model is a bigram model with Dirichlet smoothing,
 
     P(w | v) = (c(v, w) + m * P(w)) / (c(v) + m),   P(w) = (c(w) + 1) / (N + V + 1),
 
@@ -10,8 +11,7 @@ with counts c(v, w) and c(w) rounded down and c(v) rounded up to the border of t
 false positives of the filter. The context of the first word is the end token.
 
 Counts are exact over all training texts. Tasks send their sorted counts as compressed runs, one for each range of hashes,
-and one task merges each range. If all levels do not fit at ``bits_per_level``, the n-grams with the smallest counts are left out, which is
-the smallest change for a given size; smoothing covers them. Beside the model, ``base_score`` uses exact word counts: the most frequent words by a
+and one task merges each range. Beside the model, ``base_score`` uses exact word counts: the most frequent words by a
 broadcast of bounded size, all others by a join.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from winnow.llm.store import saved
 from winnow.llm.words import WordHashes, lower_words, mix, word_hashes
@@ -42,6 +42,7 @@ UNI, BI = 0, 1
 
 @dataclass(frozen=True)
 class Settings:
+    #: A filter of up to so many bits is broadcast.
     max_filter_bits: int = 1 << 29
     probes: int = 3
     bits_per_level: int = 8
@@ -153,8 +154,10 @@ def probe_places(hashes: np.ndarray, level: int, n: int, size: int) -> Iterator[
         yield base + ((h + np.uint64(i) * step) >> np.uint64(20) & inside)
 
 
-#: Bits of a segment of the filter.
-SEGMENT = 1 << 15
+#: Bits of a segment of the filter, and segments that a task holds at a time when the filter is not broadcast (8 MB).
+SEGMENT, HELD = 1 << 15, 1 << 11
+#: Tokens of the documents that ask together, if not one document alone has more.
+ASKING = 1 << 17
 
 
 def levels_of(counts: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -164,21 +167,27 @@ def levels_of(counts: np.ndarray, borders: np.ndarray) -> np.ndarray:
 def read_levels(hashes: np.ndarray, bits: np.ndarray, probes: int, most: int) -> np.ndarray:
     """Level of each n-gram by repeated membership probes; 0 if it is not stored."""
     found, inverse = np.unique(hashes, return_inverse=True)
-    level, alive, size = np.zeros(len(found), np.int64), np.arange(len(found)), len(bits) * 8
+    return probed(found, bits, probes, most, len(bits) * 8, 0)[inverse]
+
+
+def probed(found: np.ndarray, bits: np.ndarray, probes: int, most: int, size: int, start: int) -> np.ndarray:
+    """Levels of ``found`` in a filter of ``size`` bits, of which ``bits`` holds those from ``start`` on."""
+    level, alive = np.zeros(len(found), np.int64), np.arange(len(found))
     for q in range(1, most + 1):
         h = found[alive]
         has = np.ones(len(h), bool)
         for p in probe_places(h, q, probes, size):
+            p = p - np.uint64(start)
             has &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
         alive = alive[has]
         if not len(alive):
             break
         level[alive] = q
-    return level[inverse]
+    return level
 
 
-def _segments(counted: DataFrame, size: int, least: int, settings: Settings) -> DataFrame:
-    """(first, bits): the filter's bytes by stretches of whole segments, for the n-grams with a count of ``least`` or more."""
+def _segments(counted: DataFrame, size: int, settings: Settings) -> DataFrame:
+    """(first, bits): the filter's bytes by segment; a segment at a border between ranges has a row from each."""
     borders = level_borders(settings.base)
     ranges = counted.select("part").distinct().count()
     schema = pa.schema([("first", pa.int64()), ("bits", pa.binary())])
@@ -188,8 +197,7 @@ def _segments(counted: DataFrame, size: int, least: int, settings: Settings) ->
         for batch in batches:
             for row in batch.to_pylist():
                 hashes, counts = np.cumsum(_unpack(row["hashes"]), dtype=np.uint64), _unpack(row["counts"]).astype(np.int64)
-                keep = counts >= least
-                hashes, level = hashes[keep], levels_of(counts[keep], borders)
+                level = levels_of(counts, borders)
                 q = 1
                 while len(hashes):
                     for p in probe_places(hashes, q, settings.probes, size):
@@ -210,9 +218,11 @@ def _segments(counted: DataFrame, size: int, least: int, settings: Settings) ->
 
 @dataclass
 class Model:
-    """What scoring needs; ``bits`` and ``head`` are broadcasts of bounded size."""
+    """What scoring needs; ``bits`` and ``head`` are broadcasts of bounded size, ``bits`` only if the filter fits."""
 
     bits: Any
+    segments: DataFrame
+    size: int
     head: Any
     total: int
     distinct: int
@@ -239,17 +249,14 @@ def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
         return pd.Series(out, dtype=object)
 
     per_level = counted.select("kind", F.inline(histogram("counts"))).groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()
-    capacity, stored, least = settings.max_filter_bits // settings.bits_per_level, 0, 1 << 62
-    for q in sorted({r.level for r in per_level}, reverse=True):
-        more = sum(r.level * r.n for r in per_level if r.level == q)
-        if stored + more > capacity:
-            break
-        stored, least = stored + more, int(borders[q - 1])
-    size = min(settings.max_filter_bits, max(SEGMENT, 1 << max(0, stored * settings.bits_per_level - 1).bit_length()))
-    bits = np.zeros(size // 8, np.uint8)
-    for r in saved(_segments(counted, size, least, settings)).toLocalIterator():  # as many bytes as the filter has, twice at range borders
-        a = r.first * (SEGMENT // 8)
-        bits[a : a + SEGMENT // 8] |= np.frombuffer(r.bits, np.uint8)
+    stored = sum(r.level * r.n for r in per_level)
+    size = max(SEGMENT, 1 << max(0, stored * settings.bits_per_level - 1).bit_length())
+    segments, bits = saved(_segments(counted, size, settings)), None
+    if size <= settings.max_filter_bits:
+        bits = np.zeros(size // 8, np.uint8)
+        for r in segments.toLocalIterator():  # as many bytes as the filter has, twice at range borders
+            a = r.first * (SEGMENT // 8)
+            bits[a : a + SEGMENT // 8] |= np.frombuffer(r.bits, np.uint8)
 
     words = saved(_word_counts(counted))
     held, border = 0, 1 << 62
@@ -261,7 +268,7 @@ def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
     head = words.filter(F.col("count") >= border).toPandas().sort_values("word")  # at most settings.head rows
     shared = spark.sparkContext.broadcast
     top = (head["word"].to_numpy(np.int64), head["count"].to_numpy(np.int64))
-    return Model(shared(bits), shared(top), total, distinct, words.filter(F.col("count") < border), settings)
+    return Model(None if bits is None else shared(bits), segments, size, shared(top), total, distinct, words.filter(F.col("count") < border), settings)
 
 
 def _word_counts(counted: DataFrame) -> DataFrame:
@@ -276,6 +283,108 @@ def _word_counts(counted: DataFrame) -> DataFrame:
     return counted.filter(F.col("kind") == UNI).select("hashes", "counts").mapInArrow(unpacked, "word long, count long")
 
 
+def _log_sums(level: np.ndarray, pair_level: np.ndarray, sizes: np.ndarray, total: int, distinct: int, settings: Settings) -> np.ndarray:
+    """log10 probability of each text, from the levels of its tokens and of their pairs; ``sizes`` has the tokens of each text."""
+    borders = level_borders(settings.base)
+    low = np.concatenate([[0], borders]).astype(np.float64)
+    high = np.concatenate([[0], borders[1:] - 1, [borders[-1] * 2]]).astype(np.float64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    before = np.roll(level, 1)
+    before[starts] = level[starts + sizes - 1]  # the end token
+    word = (low[level] + 1) / (total + distinct + 1)
+    p = (low[pair_level] + settings.prior * word) / (high[before] + settings.prior)
+    return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
+
+
+def _all_pairs(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([pair_hashes(t) for t in np.split(flat, np.cumsum(sizes)[:-1])])
+
+
+def _asked(rows: DataFrame, size: int) -> DataFrame:
+    """(part, first, blob, ids, sizes): what groups of documents ask of each part of the filter, and part -1 with their tokens.
+
+    ``rows`` has (row, toks). ``first`` is the first row of a group and names it.
+    """
+    schema = pa.schema([("part", pa.int64()), ("first", pa.int64()), ("blob", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+
+    def group(ids: list, toks: list) -> pa.RecordBatch:
+        flat, sizes = np.concatenate(toks), np.array([len(t) for t in toks])
+        found = np.unique(np.concatenate([flat, _all_pairs(flat, sizes)]))
+        part = (((found >> np.uint64(32)) * np.uint64(size // SEGMENT)) >> np.uint64(32)) // np.uint64(HELD)
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        asks = [(int(part[a]), ids[0], _pack(np.diff(found[a:b], prepend=np.uint64(0))), None, None) for a, b in zip(at, [*at[1:], len(found)])]
+        asks.append((-1, ids[0], _pack(flat), _pack(np.array(ids)), _pack(sizes)))
+        return pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*asks), schema)], schema=schema)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, toks, n = [], [], 0
+        for batch in batches:
+            for row, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(row)
+                toks.append(_unpack(packed))
+                n += len(toks[-1])
+                if n >= ASKING:
+                    yield group(ids, toks)
+                    ids, toks, n = [], [], 0
+        if ids:
+            yield group(ids, toks)
+
+    return rows.select("row", "toks").mapInArrow(ask, "part long, first long, blob binary, ids binary, sizes binary")
+
+
+def scores_by_range(rows: DataFrame, model: Model) -> DataFrame:
+    """(row, score) of ``rows`` (row, toks), with the filter as a table.
+
+    Each group of documents sends its distinct n-grams to the parts of the filter and gets their levels back. A task holds one part of
+    the filter and one group at a time; however frequent an n-gram, a group asks for it once.
+    """
+    s, total, distinct, size = model.settings, model.total, model.distinct, model.size
+    most, part_bits = len(level_borders(s.base)), SEGMENT * HELD
+    asked = saved(_asked(rows, size))
+    answer = pa.schema([("first", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())])
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, bits = -1, np.zeros(0, np.uint8)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != part:
+                    part, bits = r["part"], np.zeros(part_bits // 8, np.uint8)
+                if not r["asks"]:
+                    a = (r["first"] - part * HELD) * (SEGMENT // 8)
+                    bits[a : a + SEGMENT // 8] |= np.frombuffer(r["blob"], np.uint8)
+                    continue
+                level = probed(np.cumsum(_unpack(r["blob"]), dtype=np.uint64), bits, s.probes, most, size, part * part_bits)
+                yield pa.record_batch([pa.array([x], t.type) for x, t in zip((r["first"], part, _pack(level)), answer)], schema=answer)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, levels = None, []
+
+        def result() -> pa.RecordBatch:
+            flat, sizes = _unpack(held["toks"]), _unpack(held["sizes"]).astype(np.int64)
+            _, inverse = np.unique(np.concatenate([flat, _all_pairs(flat, sizes)]), return_inverse=True)
+            level = np.concatenate(levels)[inverse]
+            out = _log_sums(level[: len(flat)], level[len(flat) :], sizes, total, distinct, s)
+            return pa.record_batch({"row": pa.array(_unpack(held["ids"]).astype(np.int64)), "score": pa.array(out)})
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] >= 0:
+                    levels.append(_unpack(r["blob"]).astype(np.int64))
+                    continue
+                if held:
+                    yield result()
+                held, levels = {"toks": r["blob"], "ids": r["ids"], "sizes": r["sizes"]}, []
+        if held:
+            yield result()
+
+    segments = model.segments.select(F.expr(f"first DIV {HELD}").alias("part"), F.lit(False).alias("asks"), "first", F.col("bits").alias("blob"))
+    both = segments.unionByName(asked.filter("part >= 0").select("part", F.lit(True).alias("asks"), "first", "blob"))
+    got = both.repartition("part").sortWithinPartitions("part", "asks").mapInArrow(answers, "first long, part long, blob binary")
+    none = F.lit(None).cast("binary")
+    back = got.select("first", "part", "blob", none.alias("ids"), none.alias("sizes")).unionByName(asked.filter("part < 0"))
+    return back.repartition("first").sortWithinPartitions("first", "part").mapInArrow(summed, "row long, score double")
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of each row of ``docs``.
 
@@ -283,10 +392,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     table stays empty. Only ``doc_id`` and ``text`` are read.
     """
     s, total, distinct = model.settings, model.total, model.distinct
-    bits, head, borders = model.bits, model.head, level_borders(model.settings.base)
-    low = np.concatenate([[0], borders]).astype(np.float64)
-    high = np.concatenate([[0], borders[1:] - 1, [borders[-1] * 2]]).astype(np.float64)
-    fields = [("n_tokens", LongType()), ("head_known", LongType()), ("head_sum", DoubleType()), ("score", DoubleType()), ("tail", ArrayType(LongType()))]
+    bits, head, most = model.bits, model.head, len(level_borders(model.settings.base))
+    fields = [("n_tokens", LongType()), ("head_known", LongType()), ("head_sum", DoubleType()), ("score", DoubleType()), ("tail", ArrayType(LongType())), ("toks", BinaryType())]
 
     @F.pandas_udf(StructType([StructField(n, t) for n, t in fields]))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -299,24 +406,24 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 sizes = np.array([len(t) for t in toks])
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 flat = np.concatenate(toks)
-                pairs = np.concatenate([pair_hashes(t) for t in toks])
-                level = read_levels(flat, bits.value, s.probes, len(borders))
-                before = np.roll(level, 1)
-                before[starts] = level[starts + sizes - 1]  # the end token
-                word = (low[level] + 1) / (total + distinct + 1)
-                p = (low[read_levels(pairs, bits.value, s.probes, len(borders))] + s.prior * word) / (high[before] + s.prior)
+                found = None
+                if bits is not None:
+                    level, pair_level = (read_levels(h, bits.value, s.probes, most) for h in (flat, _all_pairs(flat, sizes)))
+                    found = _log_sums(level, pair_level, sizes, total, distinct, s)
                 at = np.minimum(np.searchsorted(words, flat.view(np.int64)), max(0, len(words) - 1))
                 known = words[at] == flat.view(np.int64) if len(words) else np.zeros(len(flat), bool)
                 logs = np.where(known, np.log10((counts[at] if len(words) else np.zeros(len(flat))) + 1.0), 0.0)
                 ends = np.split(np.arange(len(flat)), starts[1:])
                 parts.append(pd.DataFrame({
                     "n_tokens": sizes, "head_known": np.add.reduceat(known.astype(np.int64), starts), "head_sum": np.add.reduceat(logs, starts),
-                    "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts), "tail": [flat[e][~known[e]].view(np.int64) for e in ends],
+                    "score": found, "tail": [flat[e][~known[e]].view(np.int64) for e in ends], "toks": None if bits is not None else [_pack(t) for t in toks],
                 }))
             yield pd.concat(parts) if parts else pd.DataFrame(columns=[n for n, _ in fields])
 
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.asNondeterministic()("text").alias("s"))
     rows = saved(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "s.*"))
+    if bits is None:
+        rows = rows.drop("score").join(scores_by_range(rows, model), "row").drop("toks")
     tail = rows.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n")).join(model.words, "word")
     sums = tail.groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("count") + 1.0)).alias("sum"))
     return rows.drop("tail").join(sums, "row", "left").select(
