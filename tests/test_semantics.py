@@ -445,6 +445,17 @@ def test_automaton_equals_join_on_words(spark):
     assert "Join" not in plan
 
 
+def test_places_match_the_texts_once(spark):
+    """Four kinds of places come from one pass over the texts; a kind without values hides no other."""
+    f = G.africa_features(texts(spark, "Payments by M-Pesa in Nairobi, Kenya, for ECOWAS and West Africa.", "nothing"), default_lexicon(spark))
+    f = f.withColumn("candidate_id", F.col("doc_id")).withColumn("languages", F.lit(None).cast("array<string>"))
+    places = A.assessment_places(f)
+    got = {(r.candidate_id, r.kind, r.name) for r in places.collect()}
+    assert {(0, "country", "Kenya"), (0, "region", "ECOWAS"), (0, "region", "West Africa")} <= got
+    assert {k for _, k, _ in got} == {"country", "region", "rail"} and {c for c, _, _ in got} == {0}
+    assert places._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_marks_cost_no_more_than_the_text():
     """Marks are found among the text's own characters; a pattern of all marks took about a microsecond for each character (16 seconds here)."""
     import sys
