@@ -502,3 +502,22 @@ def test_candidates_of_one_name_meet_announcements_once(spark, monkeypatch):
     got = rounds.collect()
     assert sorted(r.candidate_id for r in got) == [1, *range(40, 80)] and len({r.lead_investor for r in got if r.candidate_id > 1}) == 1
     assert ev.count() == 31 and {r.candidate_id for r in ev.collect()} == {1, 40} and met == [2]
+
+
+def test_aliases_read_the_observations_once(spark):
+    """Three branches over the observations before; labels that are null hide no name."""
+    at = lambda d: T0 + timedelta(days=d)
+    rows = [("c1", "b", at(1), "Zed  Labs", ["l2"]), ("c1", "a", at(0), "Harbour Chain", None), ("c1", "c", at(2), "Harbour Chain", ["l2", None, ""]), ("c2", "d", at(0), None, ["zk"])]
+    obs = spark.createDataFrame(rows, "candidate_id string, evidence_id string, observed_at timestamp, candidate_name string, purpose_labels array<string>")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    out = R.candidate_aliases(obs.withColumn("candidate_name", counted.asNondeterministic()("candidate_name")))
+    got = {tuple(r) for r in out.collect()}
+    names = {"Zed  Labs", "zed labs", "Harbour Chain", "harbour chain", "harbour"}
+    assert got == {("c1", "alias", n) for n in names} | {("c1", "purpose", "l2"), ("c2", "purpose", "zk")}
+    assert seen.value == len(rows)

@@ -284,12 +284,15 @@ def candidate_aliases(resolved: DataFrame, unicode: str = "full") -> DataFrame:
     """(candidate_id, kind, value): aliases from names, their normal and root forms, and purpose
     labels (J7). The root form is an alias of the first observation only."""
     name = F.col("candidate_name")
-    forms = F.array(name, normalize_name(name, unicode))
-    rows = resolved.select("candidate_id", F.lit("alias").alias("kind"), F.explode(forms).alias("value"))
-    first = resolved.groupBy("candidate_id").agg(F.min_by("candidate_name", F.struct("observed_at", "evidence_id")).alias("n"))
+    none = F.array().cast("array<string>")
+    labels = F.coalesce("purpose_labels", none) if "purpose_labels" in resolved.columns else none
+    # Names and labels repeat: each is looked at once for a candidate, and the observations are read once.
+    names = resolved.groupBy("candidate_id", "candidate_name", labels.alias("_labels")).agg(F.min(F.struct("observed_at", "evidence_id")).alias("at"))
+    names = cut_lineage(names)
+    of = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    rows = names.select("candidate_id", F.inline(F.concat(of("alias", F.array(name, normalize_name(name, unicode))), of("purpose", F.col("_labels")))))
+    first = names.groupBy("candidate_id").agg(F.min_by("candidate_name", "at").alias("n"))
     rows = rows.unionByName(first.select("candidate_id", F.lit("alias").alias("kind"), root_name(F.col("n"), unicode).alias("value")))
-    if "purpose_labels" in resolved.columns:
-        rows = rows.unionByName(resolved.select("candidate_id", F.lit("purpose").alias("kind"), F.explode("purpose_labels").alias("value")))
     return rows.filter(F.coalesce("value", F.lit("")) != "").distinct()
 
 
