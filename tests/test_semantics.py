@@ -521,3 +521,31 @@ def test_aliases_read_the_observations_once(spark):
     names = {"Zed  Labs", "zed labs", "Harbour Chain", "harbour chain", "harbour"}
     assert got == {("c1", "alias", n) for n in names} | {("c1", "purpose", "l2"), ("c2", "purpose", "zk")}
     assert seen.value == len(rows)
+
+
+def test_names_and_hosts_are_worked_out_once(spark):
+    """Generators share no common expressions: what an expression names twice is computed twice."""
+    from winnow.functions import text as X
+
+    rows = [("Zed  Labs!",), (" -- ",), ("",), (None,), ("https://www.A.example/x",), ("u:p@B.example:80",), ("https://",), ("0",), ("+007",), ("-0",), ("0x1F",), ("12",), ("012",)]
+    df = spark.createDataFrame(rows, "v string").select("v", X.slug(F.col("v"), "native").alias("s"), X.domain(F.col("v")).alias("d"), X.chain_id(F.col("v")).alias("c"))
+    got = {r.v: (r.s, r.d, r.c) for r in df.collect()}
+    assert got["Zed  Labs!"][0] == "zed-labs" and got[" -- "][0] == got[""][0] == got[None][0] == "unknown"
+    assert (got["https://www.A.example/x"][1], got["u:p@B.example:80"][1], got["https://"][1], got[""][1], got[None][1]) == ("a.example", "b.example", None, None, None)
+    assert [got[v][2] for v in ("0", "+007", "-0", "0x1F", "12", "012")] == ["0", "7", "0", "31", "12", "12"] and got[None][2] is None
+    plan = lambda c: df.select("v").select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(X.slug(F.col("v"), "native")).count("regexp_replace(") == 4 and plan(X.domain(F.col("v"))).count("regexp_extract(") == 1
+
+
+def test_keys_are_hashed_once_for_a_set(spark):
+    """Observations of one set of identifiers share their key; it was hashed for every row before."""
+    obs = spark.range(100).select(
+        F.lit("o").alias("org_id"), F.col("id").cast("string").alias("evidence_id"), F.timestamp_seconds("id").alias("observed_at"),
+        F.lit("net").alias("slug"), F.lit(None).cast("string").alias("caip2"), F.lit(None).cast("string").alias("genesis_fingerprint"),
+    )
+    seen, plain = [], R.stable_key
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(R, "stable_key", lambda *c: seen.append(c) or plain(*c))
+        out = R.resolve_candidates(obs).select("candidate_id").distinct().collect()
+    want = spark.range(1).select(plain(F.lit(" O"), F.lit("NET"))).first()[0]
+    assert [r.candidate_id for r in out] == [want] and ["first" in str(c[0]) for c in seen] == [True]

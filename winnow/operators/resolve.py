@@ -18,7 +18,7 @@ from winnow.functions.components import connected_components
 from winnow.functions.once import spread, with_once
 from winnow.functions.ordered import previous_by_range, top_n, with_next_mark
 from winnow.functions.text import (
-    caip2, chain_id, channel_hash, default_namespace, domain, normalize_name, root_name, slug, stable_key,
+    caip2, chain_id, channel_hash, default_namespace, domain, key_text, normalize_name, root_name, slug, stable_key,
 )
 from winnow.session import cut_lineage
 
@@ -59,7 +59,8 @@ class Resolution:
 
 
 def _group_by_nodes(obs: DataFrame, nodes: str, own_key: Column, key: str, old: Components | None = None) -> Resolution:
-    """Add ``key``: the own key of the first observation in each observation's component.
+    """Add ``key``: the own key of the first observation in each observation's component. ``own_key`` is its text, which equal
+    sets of identifiers share; it becomes a key once for each set.
 
     Distinct sets of identifiers enter the graph, each node already replaced by its component in ``old``, so rounds run on
     what the batch links and not on what is stored. An observation without any identifier is a component of its own.
@@ -70,9 +71,9 @@ def _group_by_nodes(obs: DataFrame, nodes: str, own_key: Column, key: str, old:
     obs = with_once(obs, _ids_=F.when(F.size("_ids") > 0, F.col("_ids")).otherwise(F.array(F.coalesce(row, F.lit("row:"))))).drop("_ids").withColumnRenamed("_ids_", "_ids")
     # Identifiers come from names and URLs by regular expressions: written once, they are not worked out again for the last join.
     obs = cut_lineage(obs)
-    own = F.coalesce(own_key, stable_key(row))
-    sets = obs.groupBy("_ids").agg(F.min(F.struct("observed_at", "evidence_id", own.alias("own"))).alias("first"))
-    sets = cut_lineage(sets.withColumn("anchor", F.get("_ids", F.lit(0))))
+    sets = obs.groupBy("_ids").agg(F.min(F.struct("observed_at", "evidence_id", F.coalesce(own_key, row).alias("own"))).alias("first"))
+    sets = sets.select("_ids", "first.observed_at", "first.evidence_id", stable_key(F.col("first.own")).alias("own"))
+    sets = cut_lineage(sets.select("_ids", F.struct("observed_at", "evidence_id", "own").alias("first"), F.get("_ids", F.lit(0)).alias("anchor")))
     members = sets.select("anchor", F.explode("_ids").alias("node"))
     known = members.select("node").distinct()
     if old is None:
@@ -135,9 +136,9 @@ def organization_batch(obs: DataFrame, old: Components | None, shared_domains: t
     )
     df = with_once(df, _nodes=F.when(F.size("_d") + F.size("_g") > 0, ids).otherwise(named))
     key = (
-        F.when(F.size("_d") > 0, stable_key(F.lit("org"), F.lit("domain"), F.get("_d", F.lit(0))))
-        .when(F.size("_g") > 0, stable_key(F.lit("org"), F.lit("github"), F.get("_g", F.lit(0))))
-        .otherwise(stable_key(F.lit("org"), F.lit("name"), F.col("_name")))
+        F.when(F.size("_d") > 0, key_text(F.lit("org"), F.lit("domain"), F.get("_d", F.lit(0))))
+        .when(F.size("_g") > 0, key_text(F.lit("org"), F.lit("github"), F.get("_g", F.lit(0))))
+        .otherwise(key_text(F.lit("org"), F.lit("name"), F.col("_name")))
     )
     out = _group_by_nodes(df, "_nodes", key, "org_id", old)
     return replace(out, resolved=out.resolved.drop("_nodes", "_d", "_g", "_name"))
@@ -203,7 +204,7 @@ def candidate_batch(obs: DataFrame, old: Components | None) -> Resolution:
             F.concat(F.lit("g:"), "caip2", F.lit(":"), F.nullif(F.col("genesis_fingerprint"), F.lit(""))),
         )
     )
-    out = _group_by_nodes(with_once(spread(obs), _nodes=nodes), "_nodes", stable_key(org, F.col("slug")), "candidate_id", old)
+    out = _group_by_nodes(with_once(spread(obs), _nodes=nodes), "_nodes", key_text(org, F.col("slug")), "candidate_id", old)
     return replace(out, resolved=out.resolved.drop("_nodes"))
 
 
