@@ -549,3 +549,12 @@ def test_keys_are_hashed_once_for_a_set(spark):
         out = R.resolve_candidates(obs).select("candidate_id").distinct().collect()
     want = spark.range(1).select(plain(F.lit(" O"), F.lit("NET"))).first()[0]
     assert [r.candidate_id for r in out] == [want] and ["first" in str(c[0]) for c in seen] == [True]
+
+
+def test_attributes_read_the_observations_once(spark):
+    """Sets of attributes come from one pass, and raw values are told apart before they are cut to domains."""
+    rows = [("o", "a", T0, ["https://www.A.example/x", "a.example", None], [" g ", ""], None), ("o", "b", T0, None, ["g"], ["Kenya"])]
+    obs = spark.createDataFrame(rows, "org_id string, evidence_id string, observed_at timestamp, organization_domains array<string>, github_orgs array<string>, claimed_locations array<string>")
+    out = R.merge_org_attrs(obs)
+    assert sorted(map(tuple, out.collect())) == [("o", "domain", "a.example"), ("o", "github", "g"), ("o", "location", "Kenya")]
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -150,16 +150,14 @@ def merge_org_attrs(resolved: DataFrame) -> DataFrame:
     Sets are distinct rows; a handle per platform is the latest observed.
     """
     none = F.array().cast("array<string>")
-
-    def values(kind: str, col: Column) -> DataFrame:
-        return resolved.select("org_id", F.lit(kind).alias("kind"), F.explode(col).alias("value"))
-
-    rows = values("domain", F.transform(F.coalesce("organization_domains", none), domain)).unionByName(
-        values("github", F.transform(F.coalesce("github_orgs", none), lambda g: F.trim(g)))
-    )
+    of = lambda kind, values: F.transform(F.coalesce(values, none), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    kinds = [of("domain", F.col("organization_domains")), of("github", F.col("github_orgs"))]
     if "claimed_locations" in resolved.columns:
-        rows = rows.unionByName(values("location", F.coalesce("claimed_locations", none)))
-    rows = rows.filter(F.coalesce("value", F.lit("")) != "").distinct()
+        kinds.append(of("location", F.col("claimed_locations")))
+    # Raw values repeat: they are told apart in one pass over the observations, and only then cut to domains.
+    rows = resolved.select("org_id", F.inline(F.concat(*kinds))).distinct()
+    value = F.when(F.col("kind") == "domain", domain(F.col("value"))).when(F.col("kind") == "github", F.trim("value")).otherwise(F.col("value"))
+    rows = rows.select("org_id", "kind", value.alias("value")).filter(F.coalesce("value", F.lit("")) != "").distinct()
     if "social_handles" in resolved.columns:
         social = resolved.select("org_id", "observed_at", "evidence_id", F.explode("social_handles").alias("p", "value"))
         last = social.groupBy("org_id", F.concat(F.lit("social:"), "p").alias("kind")).agg(
