@@ -479,6 +479,16 @@ def test_spaces_are_not_replaced_by_themselves():
     assert min(seconds(lambda: folded(text, "full")) for _ in range(3)) < 0.5 * min(seconds(lambda: pattern.sub(" ", text.lower())) for _ in range(3))
 
 
+def test_snippets_shuffle_texts_once(spark):
+    """Texts are folded after they met their needles; before, both forms of every text went to the join."""
+    rows = [(0, "Kenya desk\nnothing\n KENYA again "), (1, "no places"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = G.snippets(docs, G.extract_geography(docs, default_lexicon(spark)))
+    assert {x.doc_id: x.snippets for x in out.collect()} == {0: ["Kenya desk", "KENYA again"]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(text" in plan[: plan.index("Join Inner")] and "lower(text" not in plan[plan.index("Join Inner") :]
+
+
 def test_marks_cost_no_more_than_the_text():
     """Marks are found among the text's own characters; a pattern of all marks took about a microsecond for each character (16 seconds here)."""
     import sys
