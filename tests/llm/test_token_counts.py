@@ -32,6 +32,27 @@ def test_every_prefix(library):
         assert list(counter.text_counts(t)) == want, repr(t)
 
 
+def test_words_share_their_beginnings(library):
+    """Each word was worked out from its first letter; now only what follows the longest beginning that was met before."""
+
+    class Looked(dict):
+        n = 0
+
+        def get(self, *key):
+            self.n += 1
+            return super().get(*key)
+
+    counter = T.PrefixCounter(PATH)
+    counter.both = Looked(counter.both)
+    looked = []
+    for word in ("thandertion", "thandertions", "thander", "thandertiox", "thandertion", "überthander", "überthandes"):
+        before = counter.both.n
+        counts = list(counter.piece_counts(word))
+        looked.append(counter.both.n - before)
+        assert counts == [size(library, word[: i + 1]) for i in range(len(word))]
+    assert looked[2] <= looked[0] and looked[4] == 0 and looked[1] < looked[0] / 2 and looked[3] < looked[0] / 2 and looked[6] < looked[5] / 2
+
+
 def test_query_and_store(spark, library):
     texts = [None, "", "   ", "Hello world", prose(4000, 5), "x" * 3000, "a'b-" * 500, "ein\tÄrger\x0bübt", "<|endoftext|>" * 3, "don't<|endoftext|>stop"]
     out = {r.doc_id: r for r in T.token_counts(docs(spark, texts), PATH, limit=100).collect()}

@@ -5,7 +5,8 @@ input, so the count at a prefix is the count of the complete chunks before it pl
 cut chunk. Inside a chunk, ``plain`` gives for each prefix the last token of its encoding and the
 number of tokens, as if the word went on; ``ended`` closes the word there. Both follow from a shorter prefix: the
 last token is the one suffix of the prefix that is in the vocabulary and that byte-pair encoding would
-put after the last token of what stands before it. No prefix is encoded again.
+put after the last token of what stands before it. No prefix is encoded again, and words that begin alike
+share the states of their common prefixes.
 
 Chunks that the tokenizer's normaliser would change in other ways than lower-casing letter by
 letter are handed to the library prefix by prefix.
@@ -16,7 +17,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,8 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 MEMO = 1_000_000
 #: Chunks of more bytes are not kept in the memo.
 KEPT_BYTES = 40
+#: Entries of a task's memo of prefixes; it starts anew when full (about 200 bytes each).
+PREFIXES = 1_000_000
 #: Chunks of up to this many bytes have counts that fit into a byte.
 SMALL = 255
 END = "</w>"
@@ -47,6 +51,12 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def _unpacked(state: bytes) -> tuple[array, bytes, bytes]:
+    """Last tokens, numbers of tokens and numbers at an end; the first byte counts the former two."""
+    n = state[0]
+    return array("i", state[1 : 1 + 4 * n]), state[1 + 4 * n : 1 + 5 * n], state[1 + 5 * n :]
+
+
 class PrefixCounter(dict):
     """Memo from a chunk of up to ``SMALL`` bytes (UTF-8, without white space) to its counts at each of its prefixes, a byte each."""
 
@@ -75,6 +85,9 @@ class PrefixCounter(dict):
         self.alphabet = byte_alphabet()
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.fits: dict[tuple[int, int], bool] = {}
+        #: For the beginnings of words, as one string of bytes (see ``_unpacked``): the last token and the number of tokens at each of
+        #: their prefixes as if the word went on, and the numbers if it ends there. One that was met as a whole word lacks the first two of its full length.
+        self.prefixes: dict[str, bytes] = {}
 
     @staticmethod
     def _edges(made: dict[int, tuple[int, int, int]], tokens) -> dict[int, tuple[list, list]]:
@@ -95,7 +108,13 @@ class PrefixCounter(dict):
         return out
 
     def __missing__(self, chunk: bytes) -> bytes:
-        out = self.chunk_counts(chunk.decode()).astype(np.uint8).tobytes()
+        text = chunk.decode()
+        if text.isascii() and text.isalpha() and not self.special.search(text):  # one piece
+            out = bytes(self.piece_counts(text.lower()))
+        else:
+            out = b""
+        if len(out) != len(text):
+            out = self.chunk_counts(text).astype(np.uint8).tobytes()
         if len(self) >= MEMO:
             self.clear()
         if len(chunk) <= KEPT_BYTES:
@@ -120,8 +139,8 @@ class PrefixCounter(dict):
             self.fits[key] = got
         return got
 
-    def piece_counts(self, piece: str) -> list[int]:
-        """Counts at the prefixes of one pre-token that end a character."""
+    def piece_counts(self, piece: str) -> Sequence[int]:
+        """Counts at the prefixes of one pre-token that end a character, from those of the longest beginning that was met before."""
         if piece.isascii() and piece.isprintable():
             word, ends = piece, None
         else:
@@ -131,10 +150,19 @@ class PrefixCounter(dict):
                 ends.add(len(symbols))
             word = "".join(symbols)
         n = len(word)
+        known = self.prefixes
+        if n <= KEPT_BYTES and word in known:
+            return _unpacked(known[word])[2]
         both, reach, follows, fits = self.both.get, self.reach.get, self.follows, self.fits.get
-        last, count = [-1] * n, [0] * n
-        out = []
-        for i in range(1, n + 1):
+        last, count, out = [-1], [0], []
+        start = 1
+        for i in range(min(n - 1, KEPT_BYTES), 0, -1):  # the longest beginning that another word has, and does not end with
+            got = known.get(word[:i])
+            if got is not None and got[0] > i:
+                last, count, out = map(list, _unpacked(got))
+                start = i + 1
+                break
+        for i in range(start, n + 1):
             open_, want = i < n, ends is None or i in ends
             for j in range(max(0, i - reach(word[i - 2 : i], 1)) if i > 1 else 0, i):  # the longest suffix first
                 pair = both(word[j:i])
@@ -144,7 +172,9 @@ class PrefixCounter(dict):
                 if open_ and inside >= 0:
                     ok = not j or fits((last[j], inside))
                     if follows(last[j], inside) if ok is None else ok:
-                        last[i], count[i], open_ = inside, count[j] + 1, False
+                        last.append(inside)
+                        count.append(count[j] + 1)
+                        open_ = False
                         if not want:
                             break
                 if want and closing >= 0:
@@ -154,6 +184,13 @@ class PrefixCounter(dict):
                         want = False
                         if not open_:
                             break
+            if open_:  # no token
+                last.append(-1)
+                count.append(0)
+            if i <= KEPT_BYTES:
+                if len(known) >= PREFIXES:
+                    known.clear()
+                known[word[:i]] = bytes((len(last),)) + array("i", last).tobytes() + bytes(count) + bytes(out)
         return out
 
     def chunk_counts(self, chunk: str) -> np.ndarray:
