@@ -457,7 +457,7 @@ def test_places_match_the_texts_once(spark):
 
 
 def test_spaces_are_not_replaced_by_themselves():
-    """Each run of white space becomes one space, as by a pattern of all of them, which took 20 times the time of the rest of the fold."""
+    """Each run of white space becomes one space, as by a pattern of all of them, which took 20 times as long on the documents."""
     import random
     import re
     import time
