@@ -72,3 +72,18 @@ def test_odd_tables(spark):
     out = T.token_counts(d, PATH)
     assert [r.n_tokens for r in out.collect()] == [2, 2] and len(out.columns) == len(set(out.columns))
     assert T.token_counts(docs(spark, []), PATH).count() == 0
+
+
+def test_whole_texts_without_the_counts_in_between(library):
+    """Every prefix of every chunk was counted, though only the chunk that passes the limit needs it."""
+    r = random.Random(11)
+    counter, every = T.PrefixCounter(PATH), T.PrefixCounter(PATH)
+    for _ in range(300):
+        t = "".join(r.choice(PARTS) for _ in range(r.randint(1, 12)))
+        counts = every.text_counts(t)
+        for limit in (-1, 0, 1, 4, 50):
+            assert counter.text_total(t, limit) == (size(library, t), T._within(counts, limit)), repr(t)
+    counter = T.PrefixCounter(PATH)
+    text = prose(3000, 3)
+    assert counter.text_total(text, 10**9) == (size(library, text), len(text))
+    assert not counter and not counter.prefixes

@@ -6,7 +6,8 @@ cut chunk. Inside a chunk, ``plain`` gives for each prefix the last token of its
 number of tokens, as if the word went on; ``ended`` closes the word there. Both follow from a shorter prefix: the
 last token is the one suffix of the prefix that is in the vocabulary and that byte-pair encoding would
 put after the last token of what stands before it. No prefix is encoded again, and words that begin alike
-share the states of their common prefixes.
+share the states of their common prefixes. The whole of a text needs ``ended`` at the full chunks only, and the cut at a budget
+needs it inside one chunk, the one that passes the budget.
 
 Chunks that the tokenizer's normaliser would change in other ways than lower-casing letter by
 letter are handed to the library prefix by prefix.
@@ -33,6 +34,8 @@ MEMO = 1_000_000
 KEPT_BYTES = 40
 #: Entries of a task's memo of prefixes; it starts anew when full (about 200 bytes each).
 PREFIXES = 1_000_000
+#: Bits of a token id, moved up by one, in a state that is kept as one number.
+ID_BITS = 24
 #: Chunks of up to this many bytes have counts that fit into a byte.
 SMALL = 255
 END = "</w>"
@@ -81,6 +84,7 @@ class PrefixCounter(dict):
         self.reach: dict[str, int] = {}
         for t in self.both:
             self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 1))
+        self.plain, self.closing = plain, closing
         self.edges = self._edges({ids[x + y]: (ids[x], ids[y], i) for i, (x, y) in reversed([*enumerate(pairs)])}, ids.values())
         self.alphabet = byte_alphabet()
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
@@ -88,6 +92,9 @@ class PrefixCounter(dict):
         #: For the beginnings of words, as one string of bytes (see ``_unpacked``): the last token and the number of tokens at each of
         #: their prefixes as if the word went on, and the numbers if it ends there. One that was met as a whole word lacks the first two of its full length.
         self.prefixes: dict[str, bytes] = {}
+        #: For the beginnings of words, the number of tokens and the last token as if the word went on, in one number.
+        self.begun: dict[str, int] = {}
+        self.totals = ChunkTotals(self)
 
     @staticmethod
     def _edges(made: dict[int, tuple[int, int, int]], tokens) -> dict[int, tuple[list, list]]:
@@ -134,6 +141,9 @@ class PrefixCounter(dict):
                     rank = ranks.get((x, y))
                     if rank is not None and rank < x_limit and rank <= y_limit:
                         got = False
+                        break
+                if not got:
+                    break
             if len(self.fits) > 4 * MEMO:
                 self.fits.clear()
             self.fits[key] = got
@@ -193,6 +203,38 @@ class PrefixCounter(dict):
                 known[word[:i]] = bytes((len(last),)) + array("i", last).tobytes() + bytes(count) + bytes(out)
         return out
 
+    def piece_total(self, piece: str) -> int:
+        """Count of one whole pre-token: the states of its prefixes as in ``piece_counts``, and an end after the last only."""
+        word = piece if piece.isascii() and piece.isprintable() else "".join(self.alphabet[b] for b in piece.encode())
+        n = len(word)
+        known, reach, follows, fits = self.begun, self.reach.get, self.follows, self.fits.get
+        last, count = [-1] * n, [0] * n
+        tokens = self.plain.get
+        for i in range(1, n + 1):
+            kept = i < n and i <= KEPT_BYTES
+            if kept:
+                got = known.get(word[:i])
+                if got is not None:
+                    last[i], count[i] = (got & (1 << ID_BITS) - 1) - 1, got >> ID_BITS
+                    continue
+            if i == n:
+                tokens = self.closing.get
+            for j in range(max(0, i - reach(word[i - 2 : i], 1)) if i > 1 else 0, i):  # the longest suffix first
+                token = tokens(word[j:i])
+                if token is None:
+                    continue
+                ok = not j or fits((last[j], token))
+                if follows(last[j], token) if ok is None else ok:
+                    if i == n:
+                        return count[j] + 1
+                    last[i], count[i] = token, count[j] + 1
+                    break
+            if kept:
+                if len(known) >= PREFIXES:
+                    known.clear()
+                known[word[:i]] = count[i] << ID_BITS | last[i] + 1
+        raise ValueError(f"no token ends {piece!r}")
+
     def chunk_counts(self, chunk: str) -> np.ndarray:
         """Counts at each prefix of a chunk. A special token in it counts as one, once it is complete."""
         found = self.special.search(chunk)
@@ -203,11 +245,18 @@ class PrefixCounter(dict):
         rest = self.chunk_counts(chunk[found.end() :]) if found.end() < len(chunk) else np.empty(0, np.uint32)
         return np.concatenate([head, [done], done + rest]).astype(np.uint32)
 
-    def ordinary_counts(self, chunk: str) -> np.ndarray:
+    def lowered(self, chunk: str) -> str | None:
+        """The chunk as the tokenizer's normaliser leaves it, if that changes letter by letter."""
         low = chunk.lower()
-        if not chunk.isascii() and not (
+        if chunk.isascii() or (
             len(low) == len(chunk) and unicodedata.is_normalized("NFC", chunk) and all(c.lower() == x for c, x in zip(chunk, low)) and re.search(r"\s", chunk) is None
         ):
+            return low
+        return None
+
+    def ordinary_counts(self, chunk: str) -> np.ndarray:
+        low = self.lowered(chunk)
+        if low is None:
             return self.odd_counts(chunk)
         out: list[int] = []
         before = 0
@@ -253,6 +302,49 @@ class PrefixCounter(dict):
         return np.where(ends, done, done + inner)
 
 
+    def text_total(self, text: str, limit: int) -> tuple[int, int]:
+        """The count of a whole text, and the code points of its longest prefix within ``limit``: ``text_counts`` without the counts in between."""
+        chunks = text.encode().split()
+        found = list(map(self.totals.__getitem__, chunks))
+        total = sum(found)
+        if total <= limit:
+            return total, len(text)
+        if limit < 0:
+            return total, 0
+        done = np.cumsum(found)
+        k = int(np.searchsorted(done, limit, side="right"))  # the chunk that passes the limit
+        inner = self.chunk_counts(chunks[k].decode()) + (int(done[k - 1]) if k else 0)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        space = (points == 32) | (points - 9 < 5)
+        start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))[k]
+        return total, int(start) + _within(inner, limit)
+
+
+class ChunkTotals(dict):
+    """Memo from a chunk (UTF-8, without white space) to its count."""
+
+    def __init__(self, counter: PrefixCounter):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, chunk: bytes) -> int:
+        text, c = chunk.decode(), self.counter
+        out = None
+        if c.special.search(text):
+            out = int(c.chunk_counts(text)[-1])
+        elif (low := c.lowered(text)) is not None:
+            found = (low,) if low.isascii() and low.isalpha() else PIECES.findall(low)
+            if sum(map(len, found)) == len(low):
+                out = sum(map(c.piece_total, found))
+        if out is None:
+            out = len(c.library.encode(text, add_special_tokens=False).ids)
+        if len(self) >= MEMO:
+            self.clear()
+        if len(chunk) <= KEPT_BYTES:
+            self[chunk] = out
+        return out
+
+
 def _counter(path: str, made: dict) -> PrefixCounter:
     if path not in made:
         import os
@@ -321,7 +413,7 @@ def _within(counts: np.ndarray, budget: int) -> int:
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens``, ``over_limit`` and ``limit_chars`` (code points of the longest prefix within ``limit``).
 
-    One pass makes the counts at all prefixes and reads both answers from them. A null text is
+    One pass counts the whole chunks, and the prefixes of the chunk that passes the limit. A null text is
     empty. Rows are independent: repeated rows stay, an empty table stays empty, and columns with
     the names of results are replaced.
     """
@@ -333,8 +425,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         for texts in batches:
             rows = []
             for t in texts:
-                counts = counter.text_counts(t) if t else np.empty(0, np.int64)
-                rows.append((len(t.encode()) if t else 0, int(counts[-1]) if len(counts) else 0, _within(counts, limit)))
+                rows.append((len(t.encode()), *counter.text_total(t, limit)) if t else (0, 0, 0))
             yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, 3), columns=["n_bytes", "n_tokens", "limit_chars"])
 
     new = {"n_bytes", "n_tokens", "over_limit", "limit_chars"}
