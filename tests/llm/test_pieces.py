@@ -81,3 +81,18 @@ def test_odd_tables(spark):
     out = X.round_trip(d, PATH)
     assert out.count() == 2 and len(set(out.columns)) == len(out.columns)
     assert X.round_trip(docs(spark, []), PATH).count() == 0
+
+
+def test_many_words_in_step():
+    """Each unknown word was worked out alone; now those of many texts are, position by position, with the same ids."""
+    r = random.Random(5)
+    parts = ["a", "the", "ing", " ", "  ", "\n", "é", "ß", "中文", "🙂", "\x00", "▁", "!!", "12", "tion", "\U000e0001", "x" * 60, "\xa0"]
+    texts = ["", "a", "\n", " "] + ["".join(r.choice(parts) for _ in range(r.randint(1, 30))) for _ in range(500)]
+    model = X.PieceModel.load(PATH)
+    alone, many = X.Encoder(model), X.Encoder(model)
+    for got, text in zip(many.encode_many(texts), texts, strict=True):
+        assert got.tolist() == alone.encode(text).tolist(), repr(text)
+    plain = ["some words that tokenizers split, and others they keep whole"] * 3
+    one = X.Encoder(model)
+    one.viterbi = None  # not needed for ordinary words
+    assert [x.tolist() for x in one.encode_many(plain)] == [alone.encode(x).tolist() for x in plain]

@@ -20,7 +20,13 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 MARK = "▁"
 #: Entries of a task's memo of chunks; it starts anew when full.
 MEMO = 400_000
+#: Entries from which it starts anew between texts, so that it does not in the midst of them.
+MOST_LEARNT = 300_000
 KEPT_CHARS = 40
+#: Words of up to this many bytes are encoded many at a time, so many together.
+MANY_BYTES, MANY = 48, 1 << 13
+#: Characters of the texts whose unknown words are encoded together, if not one text alone has more.
+TOGETHER = 1 << 20
 #: Documents whose results leave a task together.
 SLICE = 500
 #: Fixed value: how much worse than the worst piece an unknown character scores.
@@ -187,6 +193,87 @@ class Encoder:
             e = i
         return out[::-1]
 
+    def viterbi_many(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as ``<i4`` bytes: ``viterbi`` for many words in step, position by position."""
+        base, check, value, scores = self.model.trie.base, self.model.trie.check, self.model.trie.value, self.model.scores
+        lens = np.array([len(w) for w in words])
+        m, longest = len(words), int(lens.max())
+        data = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(m, longest).T.astype(np.int32)
+        best = np.full((longest + 1, m), -np.inf)
+        back, piece = np.zeros((longest + 1, m), np.int32), np.full((longest + 1, m), -1, np.int32)
+        best[0] = 0.0
+        for i in range(longest):
+            start = np.flatnonzero((best[i] > -np.inf) & (lens > i))
+            here, c = best[i, start], data[i, start]
+            width = 1 + (c >= 0x80) + (c >= 0xE0) + (c >= 0xF0)
+            single = np.zeros(len(start), bool)
+            at, row, node = np.arange(len(start)), start, np.zeros(len(start), np.int32)
+            for j in range(i, longest):
+                step = base[node] + data[j, row]
+                ok = (check[step] == node) & (step != 0) & (lens[row] > j)
+                at, row, node = at[ok], row[ok], step[ok]
+                if not len(at):
+                    break
+                found = value[node]
+                ends = np.flatnonzero(found >= 0)
+                k, r, found = at[ends], row[ends], found[ends]
+                single[k] |= width[k] == j + 1 - i
+                total = here[k] + scores[found]
+                more = total > best[j + 1, r]
+                r = r[more]
+                best[j + 1, r], back[j + 1, r], piece[j + 1, r] = total[more], i, found[more]
+            none = np.flatnonzero(~single)
+            e, r, total = i + width[none], start[none], here[none] + self.unknown
+            more = total > best[e, r]
+            e, r = e[more], r[more]
+            best[e, r], back[e, r], piece[e, r] = total[more], i, -1
+        out, n = np.zeros((m, longest), "<i4"), np.zeros(m, np.int64)
+        row, e, odd = np.arange(m), lens, np.zeros(m, bool)
+        while len(row):  # from the last piece to the first, so the ids stand at the right
+            got = piece[e, row]
+            odd[row] |= got < 0
+            n[row] += 1
+            out[row, longest - n[row]] = got
+            e = back[e, row]
+            row, e = row[e > 0], e[e > 0]
+        flat = out[np.arange(longest) >= (longest - n)[:, None]].tobytes()
+        cuts = np.concatenate([[0], 4 * np.cumsum(n)]).tolist()
+        found = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in np.flatnonzero(odd).tolist():  # characters without a piece
+            found[k] = np.array(self.viterbi(words[k]), "<i4").tobytes()
+        return found
+
+    def learn(self, texts: list[str]) -> None:
+        """Put the words of ``texts`` that the memos lack into them."""
+        marked, bare = set(), set()
+        for text in texts:
+            for line in text.split("\n"):
+                words = line.split(" ")
+                bare.add(words[0])
+                marked.update(words)
+        for memo, words in ((self.marked, marked), (self.bare, bare)):
+            if len(memo) >= MOST_LEARNT:
+                memo.clear()
+            new = [w for w in words - memo.keys() if 0 < len(w) <= KEPT_CHARS]
+            coded = sorted((x for x in (((memo.prefix + w).encode(), w) for w in new) if len(x[0]) <= MANY_BYTES), key=lambda x: len(x[0]))
+            for a in range(0, len(coded), MANY):
+                part = coded[a : a + MANY]
+                memo.update(zip((w for _, w in part), self.viterbi_many([b for b, _ in part])))
+
+    def encode_many(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
+        """``encode`` of each text; the unknown words of some texts are encoded together."""
+        held, n = [], 0
+        for text in texts:
+            held.append(text)
+            n += len(text)
+            if n >= TOGETHER:
+                self.learn(held) if self.model.by_words else None
+                yield from map(self.encode, held)
+                held, n = [], 0
+        if held:
+            self.learn(held) if self.model.by_words else None
+            yield from map(self.encode, held)
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)

@@ -117,8 +117,8 @@ def _sequences(batches: Iterator[pa.RecordBatch], shared, layout: Layout) -> Ite
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
             part = batch.slice(a, 512)
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = encoder.encode(text) if text else ()
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_many(texts)):
                 if len(ids):
                     yield from packer.add(doc_id, ids)
     if packer.n:
