@@ -64,3 +64,26 @@ def test_odd_tables(spark):
     assert M.scores(docs(spark, [])).count() == 0
     d = docs(spark, ["a b"] * 2).selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "1 AS row", "2 AS word")
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in M.scores(d).collect()] == [(3, 3, 6)] * 2
+
+
+def test_groups_keep_tokens_once_and_short(spark):
+    """Groups kept a hash of eight bytes for each token, twice; now a place among their distinct words, in one row."""
+    texts = [prose(4000, i) for i in range(12)]
+    d = docs(spark, texts)
+    model = M.train(d.select("text"), M.Settings(max_filter_bits=0))
+    rows = M._grouped(d, model).collect()
+    groups = [r for r in rows if r["first"] is not None]
+    n = sum(r.n_tokens for r in rows if r["first"] is None)
+    assert len(rows) == len(texts) + len(groups) and n == sum(len(M.token_hashes(t, M.WordHashes())) for t in texts)
+    assert sum(len(g.words) + len(g.places) for g in groups) < 3 * n
+
+
+def test_groups_share_their_probes(spark, monkeypatch):
+    """Each group's n-grams were probed apart; groups that are answered together give the same scores."""
+    monkeypatch.setattr(M, "ASKING", 200)
+    d = docs(spark, [prose(150, i % 4) for i in range(20)])
+    got = []
+    for n in (1, 1 << 18):
+        monkeypatch.setattr(M, "ANSWERED", n)
+        got.append(sorted((r.doc_id, r.score) for r in M.scores(d, M.Settings(max_filter_bits=0)).collect()))
+    assert got[0] == got[1]

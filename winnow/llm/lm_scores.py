@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from winnow.llm.store import saved
 from winnow.llm.words import WordHashes, lower_words, mix, word_hashes
@@ -158,6 +158,8 @@ def probe_places(hashes: np.ndarray, level: int, n: int, size: int) -> Iterator[
 SEGMENT, HELD = 1 << 15, 1 << 11
 #: Tokens of the documents that ask together, if not one document alone has more.
 ASKING = 1 << 17
+#: N-grams asked of one part that are probed together.
+ANSWERED = 1 << 18
 
 
 def levels_of(counts: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -300,89 +302,145 @@ def _all_pairs(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([pair_hashes(t) for t in np.split(flat, np.cumsum(sizes)[:-1])])
 
 
-def _asked(rows: DataFrame, size: int) -> DataFrame:
-    """(part, first, blob, ids, sizes): what groups of documents ask of each part of the filter, and part -1 with their tokens.
+def _grouped(docs: DataFrame, model: Model) -> DataFrame:
+    """A row for each document (``first`` is null) and one for each group of them, which has their tokens once.
 
-    ``rows`` has (row, toks). ``first`` is the first row of a group and names it.
+    A group names its distinct words by their sorted hashes and the tokens by their places among them, so frequent words take little.
+    ``first`` is the first row of a group and names it.
     """
-    schema = pa.schema([("part", pa.int64()), ("first", pa.int64()), ("blob", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    head = model.head
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, (known_words, known_counts) = WordHashes(), head.value
+        held, n = [], 0
+
+        def group(doc: pa.DataType) -> pa.RecordBatch:
+            rows, ids, out, toks = zip(*held)
+            flat, sizes = np.concatenate(toks), np.array([len(t) for t in toks])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            words, places = np.unique(flat, return_inverse=True)
+            known, logs = _head_logs(words, known_words, known_counts)
+            known, logs = known[places], logs[places]
+            tails = np.concatenate([[0], np.cumsum(np.add.reduceat((~known).astype(np.int64), starts))])
+            made = {
+                "row": pa.array([*rows, None], pa.int64()), "doc_id": pa.array([*ids, None], doc), "held_out": pa.array([*out, None], pa.bool_()),
+                "n_tokens": pa.array([*sizes.tolist(), None], pa.int64()), "head_known": pa.array([*np.add.reduceat(known.astype(np.int64), starts).tolist(), None], pa.int64()),
+                "head_sum": pa.array([*np.add.reduceat(logs, starts).tolist(), None], pa.float64()),
+                "tail": pa.ListArray.from_arrays(pa.array([*tails.tolist(), tails[-1]], pa.int32()), pa.array(flat[~known].view(np.int64))),
+            }
+            packed = {"words": _pack(np.diff(words, prepend=np.uint64(0))), "places": _pack(places), "ids": _pack(np.array(rows)), "sizes": _pack(sizes)}
+            last = {"first": pa.array([*[None] * len(rows), rows[0]], pa.int64()), **{k: pa.array([*[None] * len(rows), v], pa.binary()) for k, v in packed.items()}}
+            return pa.record_batch({**made, **last})
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                for row, doc_id, out, text in zip(*(c.to_pylist() for c in part.columns)):
+                    held.append((row, doc_id, out, token_hashes(text, memo)))
+                    n += len(held[-1][3])
+                    if n >= ASKING:
+                        yield group(part.column(1).type)
+                        held, n = [], 0
+        if held:
+            yield group(part.column(1).type)
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return numbered.mapInArrow(
+        make, f"row long, doc_id {doc_type}, held_out boolean, n_tokens long, head_known long, head_sum double, tail array<long>, "
+        "first long, words binary, places binary, ids binary, sizes binary"
+    )
+
+
+def _head_logs(words: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word is in the broadcast head of the counts, and the logarithm of its count and one there, else 0."""
+    if not len(known):
+        return np.zeros(len(words), bool), np.zeros(len(words))
+    signed = words.view(np.int64)
+    at = np.minimum(np.searchsorted(known, signed), len(known) - 1)
+    found = known[at] == signed
+    return found, np.where(found, np.log10(counts[at] + 1.0), 0.0)
+
+
+def _tokens(words: bytes, places: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(words), dtype=np.uint64)[_unpack(places).astype(np.int64)]
 
-    def group(ids: list, toks: list) -> pa.RecordBatch:
-        flat, sizes = np.concatenate(toks), np.array([len(t) for t in toks])
-        found = np.unique(np.concatenate([flat, _all_pairs(flat, sizes)]))
-        part = (((found >> np.uint64(32)) * np.uint64(size // SEGMENT)) >> np.uint64(32)) // np.uint64(HELD)
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        asks = [(int(part[a]), ids[0], _pack(np.diff(found[a:b], prepend=np.uint64(0))), None, None) for a, b in zip(at, [*at[1:], len(found)])]
-        asks.append((-1, ids[0], _pack(flat), _pack(np.array(ids)), _pack(sizes)))
-        return pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*asks), schema)], schema=schema)
+
+def _asked(groups: DataFrame, size: int) -> DataFrame:
+    """(part, first, blob): the distinct n-grams that each group asks of each part of the filter."""
+    schema = pa.schema([("part", pa.int64()), ("first", pa.int64()), ("blob", pa.binary())])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, toks, n = [], [], 0
         for batch in batches:
-            for row, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(row)
-                toks.append(_unpack(packed))
-                n += len(toks[-1])
-                if n >= ASKING:
-                    yield group(ids, toks)
-                    ids, toks, n = [], [], 0
-        if ids:
-            yield group(ids, toks)
+            for k in range(batch.num_rows):
+                first, words, places, sizes = (c[k].as_py() for c in batch.columns)
+                found = np.unique(np.concatenate([np.cumsum(_unpack(words), dtype=np.uint64), _all_pairs(_tokens(words, places), _unpack(sizes).astype(np.int64))]))
+                part = (((found >> np.uint64(32)) * np.uint64(size // SEGMENT)) >> np.uint64(32)) // np.uint64(HELD)
+                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                asks = [(int(part[a]), first, _pack(np.diff(found[a:b], prepend=np.uint64(0)))) for a, b in zip(at, [*at[1:], len(found)])]
+                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*asks), schema)], schema=schema)
 
-    return rows.select("row", "toks").mapInArrow(ask, "part long, first long, blob binary, ids binary, sizes binary")
+    return groups.select("first", "words", "places", "sizes").mapInArrow(ask, "part long, first long, blob binary")
 
 
-def scores_by_range(rows: DataFrame, model: Model) -> DataFrame:
-    """(row, score) of ``rows`` (row, toks), with the filter as a table.
+def scores_by_range(groups: DataFrame, model: Model) -> DataFrame:
+    """(row, score) of the documents of ``groups`` (see ``_grouped``), with the filter as a table.
 
     Each group of documents sends its distinct n-grams to the parts of the filter and gets their levels back. A task holds one part of
-    the filter and one group at a time; however frequent an n-gram, a group asks for it once.
+    the filter and what some groups ask of it; however frequent an n-gram, a group asks for it once, and groups that are probed together share it.
     """
     s, total, distinct, size = model.settings, model.total, model.distinct, model.size
     most, part_bits = len(level_borders(s.base)), SEGMENT * HELD
-    asked = saved(_asked(rows, size))
     answer = pa.schema([("first", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())])
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, bits = -1, np.zeros(0, np.uint8)
+        part, bits, held, n = -1, np.zeros(0, np.uint8), [], 0
+
+        def answered() -> pa.RecordBatch:
+            # Groups share their frequent n-grams, which have the most levels to probe.
+            found, inverse = np.unique(np.concatenate([h for _, h in held]), return_inverse=True)
+            level = probed(found, bits, s.probes, most, size, part * part_bits)[inverse]
+            blobs = [_pack(x) for x in np.split(level, np.cumsum([len(h) for _, h in held])[:-1])]
+            return pa.record_batch([pa.array(c, t.type) for c, t in zip(([f for f, _ in held], [part] * len(held), blobs), answer)], schema=answer)
+
         for batch in batches:
             for r in batch.to_pylist():
+                if held and (r["part"] != part or n >= ANSWERED):
+                    yield answered()
+                    held, n = [], 0
                 if r["part"] != part:
                     part, bits = r["part"], np.zeros(part_bits // 8, np.uint8)
                 if not r["asks"]:
                     a = (r["first"] - part * HELD) * (SEGMENT // 8)
                     bits[a : a + SEGMENT // 8] |= np.frombuffer(r["blob"], np.uint8)
                     continue
-                level = probed(np.cumsum(_unpack(r["blob"]), dtype=np.uint64), bits, s.probes, most, size, part * part_bits)
-                yield pa.record_batch([pa.array([x], t.type) for x, t in zip((r["first"], part, _pack(level)), answer)], schema=answer)
+                held.append((r["first"], np.cumsum(_unpack(r["blob"]), dtype=np.uint64)))
+                n += len(held[-1][1])
+        if held:
+            yield answered()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, levels = None, []
-
-        def result() -> pa.RecordBatch:
-            flat, sizes = _unpack(held["toks"]), _unpack(held["sizes"]).astype(np.int64)
-            _, inverse = np.unique(np.concatenate([flat, _all_pairs(flat, sizes)]), return_inverse=True)
-            level = np.concatenate(levels)[inverse]
-            out = _log_sums(level[: len(flat)], level[len(flat) :], sizes, total, distinct, s)
-            return pa.record_batch({"row": pa.array(_unpack(held["ids"]).astype(np.int64)), "score": pa.array(out)})
-
+        levels = []
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["part"] >= 0:
-                    levels.append(_unpack(r["blob"]).astype(np.int64))
+            for k in range(batch.num_rows):
+                _, part, blob, words, places, ids, sizes = (c[k].as_py() for c in batch.columns)
+                if part is not None:
+                    levels.append(_unpack(blob).astype(np.int64))
                     continue
-                if held:
-                    yield result()
-                held, levels = {"toks": r["blob"], "ids": r["ids"], "sizes": r["sizes"]}, []
-        if held:
-            yield result()
+                # The tokens of a group come after its levels.
+                flat, sizes = _tokens(words, places), _unpack(sizes).astype(np.int64)
+                _, inverse = np.unique(np.concatenate([flat, _all_pairs(flat, sizes)]), return_inverse=True)
+                level, levels = np.concatenate(levels)[inverse], []
+                out = _log_sums(level[: len(flat)], level[len(flat) :], sizes, total, distinct, s)
+                yield pa.record_batch({"row": pa.array(_unpack(ids).astype(np.int64)), "score": pa.array(out)})
 
     segments = model.segments.select(F.expr(f"first DIV {HELD}").alias("part"), F.lit(False).alias("asks"), "first", F.col("bits").alias("blob"))
-    both = segments.unionByName(asked.filter("part >= 0").select("part", F.lit(True).alias("asks"), "first", "blob"))
-    got = both.repartition("part").sortWithinPartitions("part", "asks").mapInArrow(answers, "first long, part long, blob binary")
-    none = F.lit(None).cast("binary")
-    back = got.select("first", "part", "blob", none.alias("ids"), none.alias("sizes")).unionByName(asked.filter("part < 0"))
-    return back.repartition("first").sortWithinPartitions("first", "part").mapInArrow(summed, "row long, score double")
+    both = segments.unionByName(_asked(groups, size).select("part", F.lit(True).alias("asks"), "first", "blob"))
+    # As a table, so that the files of this shuffle are gone when the tokens are dealt.
+    got = saved(both.repartition("part").sortWithinPartitions("part", "asks").mapInArrow(answers, "first long, part long, blob binary"))
+    sent = groups.select("first", "words", "places", "ids", "sizes")
+    back = got.unionByName(sent, allowMissingColumns=True).select("first", "part", "blob", "words", "places", "ids", "sizes")
+    return back.repartition("first").sortWithinPartitions("first", F.asc_nulls_last("part")).mapInArrow(summed, "row long, score double")
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -393,7 +451,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """
     s, total, distinct = model.settings, model.total, model.distinct
     bits, head, most = model.bits, model.head, len(level_borders(model.settings.base))
-    fields = [("n_tokens", LongType()), ("head_known", LongType()), ("head_sum", DoubleType()), ("score", DoubleType()), ("tail", ArrayType(LongType())), ("toks", BinaryType())]
+    fields = [("n_tokens", LongType()), ("head_known", LongType()), ("head_sum", DoubleType()), ("score", DoubleType()), ("tail", ArrayType(LongType()))]
 
     @F.pandas_udf(StructType([StructField(n, t) for n, t in fields]))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -406,24 +464,23 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 sizes = np.array([len(t) for t in toks])
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 flat = np.concatenate(toks)
-                found = None
-                if bits is not None:
-                    level, pair_level = (read_levels(h, bits.value, s.probes, most) for h in (flat, _all_pairs(flat, sizes)))
-                    found = _log_sums(level, pair_level, sizes, total, distinct, s)
-                at = np.minimum(np.searchsorted(words, flat.view(np.int64)), max(0, len(words) - 1))
-                known = words[at] == flat.view(np.int64) if len(words) else np.zeros(len(flat), bool)
-                logs = np.where(known, np.log10((counts[at] if len(words) else np.zeros(len(flat))) + 1.0), 0.0)
+                level, pair_level = (read_levels(h, bits.value, s.probes, most) for h in (flat, _all_pairs(flat, sizes)))
+                found = _log_sums(level, pair_level, sizes, total, distinct, s)
+                known, logs = _head_logs(flat, words, counts)
                 ends = np.split(np.arange(len(flat)), starts[1:])
                 parts.append(pd.DataFrame({
                     "n_tokens": sizes, "head_known": np.add.reduceat(known.astype(np.int64), starts), "head_sum": np.add.reduceat(logs, starts),
-                    "score": found, "tail": [flat[e][~known[e]].view(np.int64) for e in ends], "toks": None if bits is not None else [_pack(t) for t in toks],
+                    "score": found, "tail": [flat[e][~known[e]].view(np.int64) for e in ends],
                 }))
             yield pd.concat(parts) if parts else pd.DataFrame(columns=[n for n, _ in fields])
 
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.asNondeterministic()("text").alias("s"))
-    rows = saved(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "s.*"))
     if bits is None:
-        rows = rows.drop("score").join(scores_by_range(rows, model), "row").drop("toks")
+        grouped = saved(_grouped(docs, model))
+        rows = grouped.filter("first is null").select("row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "tail")
+        rows = rows.join(saved(scores_by_range(grouped.filter("first is not null"), model)), "row")
+    else:
+        scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.asNondeterministic()("text").alias("s"))
+        rows = saved(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "s.*"))
     tail = rows.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n")).join(model.words, "word")
     sums = tail.groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("count") + 1.0)).alias("sum"))
     return rows.drop("tail").join(sums, "row", "left").select(
